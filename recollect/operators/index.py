@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recollect import schemas
 from recollect.functions.porter import with_term
@@ -12,11 +12,19 @@ from recollect.session import stage
 
 @dataclass(frozen=True)
 class Corpus:
-    """Entries with their lexical index. All three are DataFrames; ``stats`` has one row."""
+    """Entries with their lexical index. All three are DataFrames; ``stats`` has one row.
+
+    ``buckets`` is not 0 if the entries are partitioned by ``bucket_of("seq", buckets)``.
+    """
 
     entries: DataFrame
     postings: DataFrame
     stats: DataFrame
+    buckets: int = 0
+
+
+def bucket_of(seq, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(seq), F.lit(buckets)).cast("int")
 
 
 def token_rows(entries: DataFrame) -> DataFrame:

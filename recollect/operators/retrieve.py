@@ -15,7 +15,7 @@ from recollect import fixed, schemas
 from recollect.functions import rules
 from recollect.functions.text import any_of, contains_any
 from recollect.operators import rewrite
-from recollect.operators.index import Corpus
+from recollect.operators.index import Corpus, bucket_of
 from recollect.operators.search import (has_term, is_message, keep_first, lowered, money_text, recency,
                                         search_hits, sized_join, sweep_condition, sweep_limit)
 
@@ -223,8 +223,14 @@ def retrieve_cli(corpus: Corpus, question: str, top_k: int = fixed.DEFAULT_TOP_K
 
 
 def _fetch(corpus: Corpus, keys: DataFrame, k: int) -> DataFrame:
-    entries = corpus.entries.select(*schemas.ENTRY_COLS)
-    return sized_join(entries, keys, "seq", k).orderBy("place").limit(k)
+    """The full rows of the best k. With bucketed entries only the buckets of these rows are read."""
+    entries = corpus.entries
+    on = "seq"
+    if corpus.buckets:
+        keys, on = keys.withColumn("bucket", bucket_of("seq", corpus.buckets)), ["bucket", "seq"]
+    else:
+        entries = entries.select(*schemas.ENTRY_COLS)
+    return sized_join(entries, keys, on, k).drop("bucket").orderBy("place").limit(k)
 
 
 def effective_k(question: str, top_k: int) -> int:
