@@ -105,6 +105,8 @@ def hits(corpus: Corpus, plan: Plan, features: dict | None = None) -> DataFrame:
     kind = "array<struct<pass_no:int,at:int,rank:double>>"
     by_text = F.filter(F.array(*marks), lambda m: m.isNotNull()).cast(kind) if marks else F.array().cast(kind)
     rows = rows.withColumn("_passes", F.concat(F.coalesce(F.col("_ranked").cast(kind), F.array().cast(kind)), by_text))
+    if features:
+        rows = rows.withColumn("_text", rules.joined_text())
     kept = rows.select("seq", "uuid", "date_iso", "ingested_at", money_text().alias("_money"), "_passes",
                        *[c.alias(k) for k, c in (features or {}).items()])
     # the outer form keeps Spark from testing the array in the scan a second time
@@ -147,10 +149,10 @@ def merge(found: DataFrame, plan: Plan, payload: list[str]) -> DataFrame:
 
 
 def score_features(question: str) -> dict[str, Column]:
-    """What the order depends on, computed where the text is."""
+    """What the order depends on, computed where the text is (``_text``, the joined fields in lower case)."""
     q = (question or "").lower()
     has = lambda terms: any(t in q for t in terms)
-    text = rules.joined_text()
+    text = F.col("_text")
     message = is_message()
     money_asked, nyt_asked = has(fixed.SCORE_FINANCE_TERMS), has(fixed.QUERY_NYT_TERMS)
     words = [t for t in re.findall(r"[a-z0-9'.-]+", q) if len(t) >= 3 and t not in fixed.OVERLAP_STOPWORDS]
