@@ -152,12 +152,6 @@ def extract_plain_text(spark, d) -> DataFrame:
     return out.select("rel_path", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
 
-@query
-def walk_files(spark, d) -> DataFrame:
-    """The given tables as files: a recursive walk that reads no content."""
-    return extract.walk(spark, d).select("rel_path", "name", "size")
-
-
 def _extracted(spark, d) -> DataFrame:
     """Candidates of the listing with what an extractor could make of them here."""
     files = ingest.classify_files(C.listing(spark, d)).where("status = 'candidate'")
