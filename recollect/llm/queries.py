@@ -16,3 +16,15 @@ def query(f):
 def op8_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import decontaminate as m
     return m.digest(m.find(read(spark, d, "documents"), read(spark, d, "benchmark")))
+
+
+@query
+def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import tokens as m
+    return m.digest(m.count_tokens(read(spark, d, "documents")))
+
+
+@query
+def op7_packing(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import packing as m
+    return m.digest(m.pack(read(spark, d, "documents")))
