@@ -28,3 +28,9 @@ def op3_token_counts(spark: SparkSession, d: str) -> DataFrame:
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import packing as m
     return m.digest(m.pack(read(spark, d, "documents")))
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import neardup as m
+    return m.near_duplicates(read(spark, d, "documents"), words=3, percent=85)
