@@ -61,7 +61,7 @@ class NgramSet:
         for width, (keys, bits) in self.by_width.items():
             seen = windows(hashes, width)
             at = np.flatnonzero(bits[seen >> np.uint64(64 - BITS)])
-            at = at[np.isin(seen[at], keys)]
+            at = at[keys[np.minimum(np.searchsorted(keys, seen[at]), len(keys) - 1)] == seen[at]]
             for i in at.tolist():  # verify by the words themselves
                 of = self.found[width, int(seen[i])].get(_plain(low, starts[i:i + width], ends[i:i + width]))
                 if of:

@@ -5,9 +5,32 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recollect.session import stage, staging_root
-
-__all__ = ["arrow_map", "doc_bytes", "read", "stage", "staging_root"]
+from recollect import session
+from recollect.session import staging_root
+
+__all__ = ["arrow_map", "doc_bytes", "drop", "read", "stage", "staging_root"]
+#: Shuffle files of a query go when it has ended, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared staging folder and read back; its shuffle files are removed afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.stage(df, name)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
+
+
+def drop(*staged: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in staged:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

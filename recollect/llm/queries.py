@@ -34,3 +34,9 @@ def op7_packing(spark: SparkSession, d: str) -> DataFrame:
 def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import neardup as m
     return m.near_duplicates(read(spark, d, "documents"), words=3, percent=85)
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import repeats as m
+    return m.digest(m.remove_repeats(read(spark, d, "documents")))
