@@ -40,3 +40,16 @@ def op2_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import repeats as m
     return m.digest(m.remove_repeats(read(spark, d, "documents")))
+
+
+@query
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import language as m
+    docs = read(spark, d, "documents")
+    return m.identify(docs, m.train_on(docs))
+
+
+@query
+def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import secret_scan as m
+    return m.digest(m.find(read(spark, d, "documents")))

@@ -20,3 +20,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BI
        sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+_ASSIGN = (r'''([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])'''
+           r'''["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)''')
+
+
+def _matches(kind: str, pattern: str, least: int, group: int = 0) -> str:
+    """Matches with their places: the lengths of the pieces and matches before them."""
+    return f"""SELECT doc_id, '{kind}' AS kind, m, p AS start, p + length(m) AS stop FROM (
+        SELECT doc_id, unnest(f) AS m, unnest(g) AS g, unnest(list_transform(range(1, CAST(len(f) + 1 AS BIGINT)), lambda i:
+               length(array_to_string(s[1:i], '')) + length(array_to_string(f[1:i - 1], '')))) AS p
+        FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS f, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS s FROM d)
+        ) WHERE length(g) >= {least}"""
+
+
+#: Windows of candidates are rated one by one, without the increments.
+ORACLE["op4_secret_scan"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_matches("assign", _ASSIGN, 6, 2)} UNION ALL {_matches("access", "AKIA[A-Z0-9]+", 20)} UNION ALL {_matches("hex", "[0-9a-f]+", 24)}),
+cand AS (SELECT *, row_number() OVER () AS c, regexp_matches(m, '^[0-9A-Fa-f]+$') AS hex FROM ({_matches("", "[A-Za-z0-9+/=_-]{20,}", 0)})
+    WHERE NOT regexp_matches(m, '^[A-Za-z]+$') AND NOT regexp_matches(m, '^[0-9]+$') AND len(list_distinct(string_split(m, ''))) > 1
+    AND NOT regexp_matches(m, '^[A-Za-z]+([-_/+=]+[A-Za-z]*)+$') AND NOT regexp_matches(lower(m), 'example|placeholder|changeme')),
+win AS (SELECT c, substr(m, i, 20) AS w FROM (SELECT c, m, unnest(range(1, length(m) - 18)) AS i FROM cand)),
+bits AS (SELECT c, max(log2(20) - list_sum(list_transform(list_distinct(string_split(w, '')), lambda x:
+         (20 - length(replace(w, x, ''))) * log2(20 - length(replace(w, x, ''))))) / 20) AS b FROM win GROUP BY c),
+high AS (SELECT doc_id, CASE WHEN hex THEN 'entropy_hex' ELSE 'entropy_mixed' END AS kind, start, stop FROM cand JOIN bits USING (c)
+    WHERE b >= CASE WHEN hex THEN 3.01 ELSE 3.81 END
+    AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = cand.doc_id AND base.start <= cand.start AND cand.stop <= base.stop)),
+spans AS (SELECT doc_id, kind, start, stop, list_position(['assign', 'access', 'hex', 'entropy_hex', 'entropy_mixed'], kind) AS r,
+          kind || ':' || start || ':' || stop AS s FROM (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT * FROM high)),
+sums AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(s, ',' ORDER BY start, r) FILTER (r <= 3) AS base, string_agg(s, ',' ORDER BY start, r) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(sums.spans, '') AS spans FROM d LEFT JOIN sums USING (doc_id)
+"""
