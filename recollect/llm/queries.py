@@ -53,3 +53,9 @@ def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
 def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import secret_scan as m
     return m.digest(m.find(read(spark, d, "documents")))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import quality as m
+    return m.judge(read(spark, d, "documents"), read(spark, d, "labels"))

@@ -54,12 +54,14 @@ def _starts(pieces: Column, found: Column) -> Column:
 
 def matches(text: Column, pattern: str, least: Column | int = 0, group: int = 0) -> Column:
     """(start, end, string) of the leftmost matches that don't overlap and whose group has the least length."""
-    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = let(F.struct(found.alias("f"), parts.alias("p"), inner.alias("g")), lambda x: F.zip_with(
-        F.arrays_zip(x["f"], x["g"]), _starts(x["p"], x["f"]),
-        lambda m, at: F.struct(at.alias("start"), (at + F.length(m["f"])).alias("end"), m["f"].alias("string"), F.length(m["g"]).alias("size"))))
-    return F.filter(rows, lambda m: m["size"] >= least)
+    def places(found: Column) -> Column:
+        inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        rows = F.zip_with(F.arrays_zip(found.alias("f"), inner.alias("g")), let(F.split(text, pattern, -1), lambda p: _starts(p, found)),
+                          lambda m, at: F.struct(at.alias("start"), (at + F.length(m["f"])).alias("end"), m["f"].alias("string"), F.length(m["g"]).alias("size")))
+        return F.filter(F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<start:int,end:int,string:string,size:int>>")),
+                        lambda m: m["size"] >= least)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
 
 def _weight(k: Column) -> Column:
