@@ -59,3 +59,10 @@ def op4_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import quality as m
     return m.judge(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+@query
+def op5_warc(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import warc as m
+    pages = read(spark, d, "pages")
+    return m.digest(m.lookup(m.write(pages), pages, payloads=False))

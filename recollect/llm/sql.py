@@ -54,3 +54,15 @@ sums AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(sums.spans, '') AS spans FROM d LEFT JOIN sums USING (doc_id)
 """
+
+#: The base-32 digits of a digest come from its bits, five at a time.
+ORACLE["op5_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x, max(page_id) OVER (PARTITION BY b) AS last FROM p),
+bits AS (SELECT *, array_to_string(list_transform(string_split(x, ''), lambda c: right('0000' || bin(strpos('0123456789abcdef', c) - 1), 4)), '') AS s FROM h)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(list_sum(list_transform(range(1, 6), lambda j: CASE WHEN substr(s, CAST(5 * i + j AS BIGINT), 1) = '1' THEN CAST(pow(2, 5 - j) AS INT) ELSE 0 END)) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM bits
+"""
