@@ -8,6 +8,8 @@ Defined cases: a null text or one without words has no hits; items without words
 there is one block and share their findings otherwise; an empty benchmark hits nothing; other columns are ignored.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -148,21 +150,35 @@ def contaminated(percent: int = 5) -> F.Column:
     return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", percent: int = 5, n: int = 13, id_col: str = "doc_id",
+                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
     """The documents without contamination: contaminated ones go ("documents"), or hit spans are cut out ("spans").
 
-    Rows with a null id are kept as they are.
+    With one block of n-grams, documents are filtered as they are scanned, without a shuffle; with several, the findings
+    are joined by id. Columns stay as they are, and so do rows with a null id.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = find(docs, benchmark, **options)
+    parts = blocks(benchmark, item_col, item_text_col, block_words)
+    if remove == "documents" and len(parts) <= 1:
+        grams = docs.sparkSession.sparkContext.broadcast(NgramSet((parts or [[]])[0], n))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for text in batch.column(text_col):
+                    words, hits, *_ = grams.value.scan((text.as_py() or "").encode("utf-8", "replace"))
+                    keep.append(not (hits > 0 and 100 * hits >= percent * words))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    found = find(docs, benchmark, n, id_col, text_col, item_col, item_text_col, block_words)
     if remove == "documents":
-        bad = found.where(contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
+        bad = found.where(contaminated(percent)).select(F.col("doc_id").alias("_bad")).distinct()
         return docs.join(bad, F.col(id_col).cast("bigint") == F.col("_bad"), "left_anti")
     cut = found.where("n_hit > 0").groupBy(F.col("doc_id").alias("_cut")).agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
     joined = docs.join(cut, F.col(id_col).cast("bigint") == F.col("_cut"), "left")
-    bounds = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), "_ends").alias("a"),
-                          F.concat("_starts", F.array(F.octet_length(text_col).cast("bigint"))).alias("b"))
-    kept = F.transform(bounds, lambda x: F.substring(F.col(text_col).cast("binary"), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
+    data = F.col(text_col).cast("binary")
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), "_ends").alias("a"), F.concat("_starts", F.array(F.octet_length(data).cast("bigint"))).alias("b"))
+    kept = F.transform(bounds, lambda x: F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
     text = F.decode(F.aggregate(kept, F.lit(b""), lambda s, x: F.concat(s, x)), "utf-8")
     return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(text)).drop("_cut", "_starts", "_ends")
 

@@ -66,3 +66,10 @@ def op5_warc(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import warc as m
     pages = read(spark, d, "pages")
     return m.digest(m.lookup(m.write(pages), pages, payloads=False))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import extraction as m
+    pages = read(spark, d, "pages")
+    return m.digest(m.extract(pages, m.train(pages)))
