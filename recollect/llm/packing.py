@@ -16,11 +16,12 @@ are ignored. Sequence ids are unique: partition number times 2^33 plus a running
 sequence, so the padding of that end is at most one sequence for a partition or chunk.
 """
 
-from collections import deque
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,27 +32,46 @@ LENGTH = 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
+class _Pieces(dict):
+    """Piece to ids as bytes; what is missing is encoded and kept, up to a bound."""
+
+    def __init__(self, merges: Merges):
+        self.merges, self.quick = merges, ordered_ranks(merges)
+        self.bytes = {p: np.uint32(i).tobytes() for p, i in merges.ids.items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        if self.quick is not None:
+            ids = array("I", self.quick.encode_ordinary(piece)).tobytes()
+        else:
+            parts, _ = merged(piece.encode("utf-8", "replace"), self.merges.ranks)
+            ids = b"".join(self.bytes[p] for p in parts if p is not None)
+        self[piece] = ids
+        return ids
+
+
+def ordered_ranks(merges: Merges):
+    """A native encoder of single pieces, for vocabularies whose ids follow the order of their merges; else None."""
+    order = [merges.ids.get(a + b) for a, b in merges.ranks]
+    if None in order or order != sorted(order) or len(set(order)) < len(order) or len(order) + 256 != len(merges.ids):
+        return None
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=merges.ids, special_tokens={})
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit integers; pieces are encoded once while they stay in the table."""
 
-    def __init__(self, merges: Merges, table: dict):
-        self.merges, self.table, self.cutter = merges, table, Cutter(merges.special)
-
-    def _piece(self, piece: str) -> bytes:
-        parts, _ = merged(piece.encode("utf-8", "replace"), self.merges.ranks)
-        return np.array([self.merges.ids[p] for p in parts if p is not None], dtype="<u4").tobytes()
+    def __init__(self, merges: Merges, home: dict):
+        self.merges, self.cutter = merges, Cutter(merges.special)
+        if "pieces" not in home:
+            home["pieces"] = _Pieces(merges)
+        self.table = home["pieces"]
 
     def encode(self, text: str) -> np.ndarray:
-        table, out = self.table, []
+        out = []
         for run, special in self.cutter.runs(text):
-            pieces = self.cutter.pieces(run)
-            missing = set(pieces).difference(table)
-            if len(table) + len(missing) > KEPT_PIECES:
-                table.clear()
-                missing = set(pieces)
-            for p in missing:
-                table[p] = self._piece(p)
-            out.append(b"".join(map(table.__getitem__, pieces)))
+            out.append(b"".join(map(self.table.__getitem__, self.cutter.pieces(run))))
             if special is not None:
                 out.append(np.uint32(self.merges.special[special]).tobytes())
         return np.frombuffer(b"".join(out), dtype="<u4")
@@ -67,46 +87,50 @@ def sentence_ends(ids: dict[bytes, int]) -> np.ndarray:
 
 def candidates(stream: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, sentence: int, inner: int, step: int):
     """Places where a cut may stand, from 0 to the stream's end, with the penalty of each."""
-    at = np.flatnonzero(ends[np.minimum(stream, len(ends) - 1)]) + 1
-    firm = np.unique(np.concatenate(([0], at, doc_ends)))
+    kind = np.zeros(len(stream) + 1, dtype=np.int8)
+    kind[1:][ends[np.minimum(stream, len(ends) - 1)]] = 1
+    kind[doc_ends] = 2
+    kind[0] = 2
+    firm = np.flatnonzero(kind)
     extra = (np.diff(firm) - 1) // step
-    wide = np.flatnonzero(extra > 0)
-    more = np.concatenate([np.zeros(0, dtype=np.int64), *(firm[i] + step * np.arange(1, extra[i] + 1) for i in wide)])
-    places = np.concatenate((firm, more))
-    costs = np.concatenate((np.full(len(firm), sentence), np.full(len(more), inner)))
-    costs[:len(firm)][np.isin(firm, doc_ends, assume_unique=False)] = 0
-    order = np.argsort(places, kind="stable")
-    return places[order], costs[order]
+    before = np.cumsum(extra) - extra
+    kind[np.repeat(firm[:-1], extra) + step * (np.arange(extra.sum()) - np.repeat(before, extra) + 1)] = 3
+    places = np.flatnonzero(kind)
+    return places, np.array([0, sentence, 0, inner])[kind[places]]
 
 
 def cuts(places: np.ndarray, costs: np.ndarray, length: int, extra: int) -> list[int]:
     """The candidate places chosen as sequence ends, least in total cost; gaps between places are at most ``length``."""
     n = len(places)
-    exact: list[list[int]] = [[] for _ in range(n)]
+    exact: dict[int, list[int]] = {}
     width = length // 2
     while width >= max(1, length // 4):
-        found = np.searchsorted(places, places - width)
-        same = np.flatnonzero(places[np.minimum(found, n - 1)] == places - width)
+        found = np.minimum(np.searchsorted(places, places - width), n - 1)
+        same = np.flatnonzero(places[found] == places - width)
         for j, i in zip(same.tolist(), found[same].tolist()):
-            exact[j].append(i)
+            exact.setdefault(j, []).append(i)
         width //= 2
     at, cost = places.tolist(), costs.tolist()
     best, back = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f[i] + P[i], i), rising
+    keys, who, head = [0], [0], 0  # the queue: f[i] + P[i] rising, and i
     for j in range(1, n):
-        reach = at[j] - length
-        while at[queue[0][1]] < reach:
-            queue.popleft()
-        value, i = queue[0]
-        value += length - at[j]
-        for k in exact[j]:
-            if best[k] + extra < value:
-                value, i = best[k] + extra, k
-        best[j], back[j] = value + cost[j], i
-        key = best[j] + at[j]
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, j))
+        here = at[j]
+        reach = here - length
+        while at[who[head]] < reach:
+            head += 1
+        value, i = keys[head] + length - here, who[head]
+        if j in exact:
+            for k in exact[j]:
+                if best[k] + extra < value:
+                    value, i = best[k] + extra, k
+        value += cost[j]
+        best[j], back[j] = value, i
+        key = value + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            who.pop()
+        keys.append(key)
+        who.append(j)
     chosen, j = [], n - 1
     while j > 0:
         chosen.append(at[j])
@@ -115,7 +139,7 @@ def cuts(places: np.ndarray, costs: np.ndarray, length: int, extra: int) -> list
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 0,
-         length: int = LENGTH, sentence: int = 2, inner: int = 8, step: int = 16, extra: int = 16, chunk: int = 1 << 21) -> DataFrame:
+         length: int = LENGTH, sentence: int = 1, inner: int = 4, step: int = 32, extra: int = 16, chunk: int = 1 << 21) -> DataFrame:
     """Pieces of documents with their sequence and their offset there; ``ids`` as little-endian unsigned 32-bit integers.
 
     ``sentence`` and ``inner`` are the penalties, in tokens of padding, of a cut at a sentence end and inside a
