@@ -81,8 +81,8 @@ def runs(keyed: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, *digits: str) -> DataFrame:
-    """The rows whose digits occur more than once."""
-    groups = rows.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").select(*digits)
+    """The rows whose digits occur more than once. The groups are staged, so that Spark can split a large one in the join."""
+    groups = stage(rows.groupBy(*digits).agg(F.count("*").alias("n")).where("n > 1").select(*digits), "groups")
     return rows.join(groups, list(digits), "left_semi")
 
 
@@ -144,6 +144,7 @@ def repeated_starts(keyed: DataFrame, width: int, gram: int, block: int) -> Data
     contexts = stage(contexts, "contexts")
     whole = shared.join(contexts.where("n > 1").select("digit", "context"), ["digit", "context"], "left_semi")
     unsettled = contexts.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1")
+    unsettled = stage(unsettled.select("digit"), "unsettled")
     open_runs = contexts.join(unsettled, "digit", "left_semi").select("digit", "one.*")
     cores = stage(blocks(keyed, open_runs, width, block), "blocks")
     single = stage(single_windows(keyed, _repeated(cores, "digit", "core"), width), "windows")
