@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star rounds.
 
 A round is two group-by minima and joins on keys; a vertex's neighbours are never gathered. Every round is written to
-the shared staging folder, so lineage stays short. The number of rounds grows with the logarithm of the vertices.
+the shared staging folder, so lineage stays short, and so are the minima, so that
+Spark can split the join of a vertex with very many neighbours. The number of rounds grows with the logarithm of the vertices.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,9 +22,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(least, "least-neighbours")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         now = _state(edges)

@@ -4,10 +4,10 @@
    equal sets are one class; everything below runs on classes, so exact copies cost nothing more.
 2. A tree of the forest orders the classes by a rotation of the signature. Classes that share ``depth`` values in no
    tree with any other leave. In every tree, a class is held against its neighbours in sorted order, whose common prefix
-   is the longest, and, region by region, against the region's densest class; a region is taken at its least depth and
-   again deeper wherever more than one class goes on sharing values.
-3. Candidates whose signatures can still agree are confirmed on the full sets, and links become components. Then the
-   classes of different components that still share a region are held against each other's rivals (see ``rounds``).
+   is the longest, and, region by region, against the region's densest classes; a region is taken at its least depth
+   and again deeper wherever more than one class goes on sharing values.
+3. Candidates whose signatures can still agree are confirmed on the full sets, the nearest ones first, and links become
+   components.
 
 Two sets with a similarity of 0.85 miss each other in all 20 trees at depth 4 with a probability of 4e-7.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from recollect.llm.components import components
 from recollect.llm.frames import arrow_map, doc_bytes, stage
@@ -87,7 +87,7 @@ def _region(depth: int) -> F.Column:
 def alive(classes: DataFrame) -> DataFrame:
     """The classes that share a region of least depth with another one, with their signatures."""
     rows = orders(classes).select(_region(DEPTH).alias("region"), "cls")
-    shared = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region")
+    shared = stage(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "regions-of-several")
     return classes.join(rows.join(shared, "region", "left_semi").select("cls").distinct(), "cls", "left_semi")
 
 
@@ -95,22 +95,24 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def leaders(forest: DataFrame) -> DataFrame:
-    """(a, b): each class with the densest class of every region it lies in, at several depths.
+def leaders(forest: DataFrame, several: int = 4) -> DataFrame:
+    """(a, b): each class with the ``several`` densest classes of every region it lies in, at several depths.
 
     A class is dense if its regions are large: the text that others were derived from lies in more of their regions
     than they lie in each other's.
     """
     levels = F.array(*[_region(k) for k in range(DEPTH, DEEPEST + 1, 2)])
     rows = stage(forest.select("cls", F.explode(levels).alias("region")), "regions")
-    counts = rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    counts = stage(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
     within = stage(rows.join(counts, "region"), "shared-regions")
     density = within.groupBy("cls").agg(F.sum("n").alias("density"))
-    first = within.join(density, "cls").groupBy("region").agg(F.max(F.struct("density", "cls")).alias("top"))
-    return within.join(first, "region").where("cls != top.cls").select(*_pair(F.col("cls"), F.col("top.cls"))).distinct()
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("density"), "cls"))
+    first = within.join(density, "cls").withColumn("rank", rank).where(F.col("rank") <= several)
+    first = stage(first.select("region", F.col("cls").alias("top")), "leaders")
+    return within.join(first, "region").where("cls != top").select(*_pair(F.col("cls"), F.col("top"))).distinct()
 
 
-def neighbours(forest: DataFrame, reach: int = 2) -> DataFrame:
+def neighbours(forest: DataFrame, reach: int = 3) -> DataFrame:
     """(a, b): classes next to each other in the sorted order of a tree, with a common prefix of the least depth.
 
     The order is dealt by ranges, so a region of any size spreads over tasks. The first and last rows of each range
@@ -154,35 +156,48 @@ def neighbours(forest: DataFrame, reach: int = 2) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures agree within five standard deviations of it."""
+    """(a, b, same): pairs whose sizes allow the similarity and whose signatures agree within five standard deviations of it.
+
+    One byte of each signature value is enough here; chance agreement only lets more pairs through.
+    """
     share = percent / 100
     least = HASHES * share - 5 * (HASHES * share * (1 - share)) ** 0.5
-    side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    joined = pairs.join(side("a"), "a").where("n_a > 0").join(side("b"), "b").where(
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+
+    def narrow(batch: pa.RecordBatch) -> dict:
+        values = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(-1, HASHES, WIDTH)
+        return {"cls": batch.column(0), "n": batch.column(1), "bytes": [x.tobytes() for x in values[:, :, -1]]}
+
+    short = arrow_map(classes.select("cls", "n", "sig"), narrow, "cls binary, n bigint, bytes binary")
+    side = lambda c: short.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
     def step(batch: pa.RecordBatch) -> dict:
-        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=">u4").reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-        keep = pa.array((p == q).sum(axis=1) >= least)
-        return {c: batch.column(c).filter(keep) for c in ("a", "b")}
+        p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in ("bytes_a", "bytes_b"))
+        same = (p == q).sum(axis=1)
+        keep = pa.array(same >= least)
+        return {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep), "same": same[same >= least]}
 
-    return arrow_map(joined, step, "a binary, b binary")
+    return arrow_map(joined, step, "a binary, b binary, same int")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets reach the similarity. ``members``: (cls, low), the smallest document of each class."""
+def full_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, items): the shingle sets of the classes in the pairs. ``members``: (cls, low), the smallest id of each class."""
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     ids = members.join(wanted, "cls", "left_semi").select(F.col("low").alias("doc_id")).distinct()
-    texts = doc_bytes(docs, id_col, text_col).join(ids, "doc_id", "left_semi")
+    # ids grow with the corpus: one plan at every size, instead of a broadcast while they happen to be few
+    texts = doc_bytes(docs, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
 
     def build(batch: pa.RecordBatch) -> dict:
         sets = [shingles(x.as_py(), words) for x in batch.column(1)]
         return {"cls": [digest_of(s) for s in sets], "items": [s.tobytes() for s in sets]}
 
-    sets = arrow_map(texts, build, "cls binary, items binary", rows=2000)
-    sets = stage(sets.groupBy("cls").agg(F.first("items").alias("items")), "shingle-sets")
+    return arrow_map(texts, build, "cls binary, items binary", rows=2000).groupBy("cls").agg(F.first("items").alias("items"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the similarity."""
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("items").alias(f"items_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def step(batch: pa.RecordBatch) -> dict:
         keep = []
@@ -197,6 +212,22 @@ def confirm(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, p
     return arrow_map(joined, step, "a binary, b binary", rows=500)
 
 
+def links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs that connect all that the likely pairs connect.
+
+    First every class is held against the one whose signature is nearest. Pairs inside one component then change
+    nothing and are left out; all others are confirmed.
+    """
+    ends = likely.select(F.col("a").alias("cls"), "same", "a", "b").unionByName(likely.select(F.col("b").alias("cls"), "same", "a", "b"))
+    nearest = ends.groupBy("cls").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    first = stage(confirm(nearest, sets, percent), "first-links")
+    roots = components(first)
+    side = lambda c: roots.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    return first.unionByName(confirm(apart, sets, percent))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: the smallest id of each group of near-duplicates stays."""
     signed = stage(signatures(docs, words, id_col, text_col), "signatures")
@@ -205,8 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     forest = orders(living)
     candidates = leaders(forest).unionByName(neighbours(forest)).distinct()
     likely = stage(plausible(candidates, living, percent), "candidates")
-    links = confirm(likely, docs, living, words, percent, id_col, text_col)
-    roots = components(links)
+    sets = stage(full_sets(likely, docs, living, words, id_col, text_col), "shingle-sets")
+    roots = components(links(likely, sets, percent))
     linked = classes.select("cls", "low").join(roots, F.col("cls") == F.col("vertex"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("least"))
     group = stage(classes.select("cls", "low").join(linked.select("cls", "root"), "cls", "left").join(lowest, "root", "left")
@@ -215,3 +246,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents without those that have a near-duplicate of smaller id; columns stay as they are.
+
+    Rows with a null id stay, and so do rows that repeat the id of a kept document.
+    """
+    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
