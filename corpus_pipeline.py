@@ -4,21 +4,47 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's documents, so a stage's plan starts from files in shared storage and survives lost executors.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import decontaminate
+from recollect.llm import decontaminate, language, neardup, packing, secret_scan
 from recollect.llm.frames import read, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model rejects go: no letter, or no language likely enough."""
+    docs = docs.select(*COLUMNS)
+    return language.keep_identified(docs, language.train_on(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles and a similarity of 0.8, the smallest id stays."""
+    return neardup.deduplicate(docs.select(*COLUMNS), words=5, percent=80)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with 5 % or more of their words inside benchmark passages go."""
-    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate.decontaminate(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays. ``n_chars`` is counted again."""
+    clean = secret_scan.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+
+
+def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their ids."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", token_packing),
 ]
 
 

@@ -50,8 +50,9 @@ def _flags(df: DataFrame, **flags: Column) -> dict:
 def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFAULT_TOP_K, large: str = "large",
                     small: str = "small", auto_route: bool = True, auto_correct: bool = True,
                     sort_by: str = retrieve.RELEVANT, restrict_finance: bool = True, user_synonyms=None,
-                    cache: dict | None = None, version: str = "1") -> Answer:
+                    cache: dict | None = None, version: str = "1", index: str = "") -> Answer:
     """Answer one question. ``chat(model, prompt)`` returns text or raises; ``cache`` maps keys to answers.
+    ``index`` names the corpus in the key, so that corpora can share a cache.
 
     The k records are small and meant for one reader, so they come to the driver; the search does not.
     """
@@ -60,7 +61,7 @@ def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFA
     if not q:
         return Answer(fixed.EMPTY_QUESTION, [], "")
     sort_by = sort_by if sort_by in (retrieve.RELEVANT, retrieve.RECENT) else retrieve.RELEVANT
-    key = "|".join([rewrite.norm(q), str(top_k), large, small, f"auto={int(auto_route)}", f"sort={sort_by}",
+    key = "|".join([rewrite.norm(q), index, str(top_k), large, small, f"auto={int(auto_route)}", f"sort={sort_by}",
                     f"rf={int(restrict_finance)}", f"v={version}"])
     if cache is not None:
         for k in [k for k, (at, _) in cache.items() if time.time() - at > fixed.CACHE_TTL_S]:
@@ -73,10 +74,22 @@ def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFA
     kind = _flags(one, aggregate=rules.is_aggregate_finance("q"), route=rules.route("q", auto_route))
     k = retrieve.effective_k(q, top_k)
 
+    kept: list[DataFrame] = []
+    try:
+        return _answer(corpus, q, k, kind, kept, chat, key, cache, large, small, auto_route, auto_correct,
+                       lambda text: retrieve.retrieve(corpus, text, k, sort_by, restrict_finance, user_synonyms))
+    finally:
+        for rows in kept:
+            rows.unpersist()
+
+
+def _answer(corpus, q, k, kind, kept, chat, key, cache, large, small, auto_route, auto_correct, search) -> Answer:
+    """The flow after the cache; what it persists is listed in ``kept``."""
+    spark = corpus.entries.sparkSession
+
     def read(text):
-        rows = retrieve.retrieve(corpus, text, k, sort_by, restrict_finance, user_synonyms)
-        kept = rows.persist()
-        return kept, kept.count()
+        kept.append(search(text).persist())
+        return kept[-1], kept[-1].count()
 
     asked = q
     rows, n = read(q)
@@ -127,7 +140,6 @@ def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFA
     shown = present.preview(rows, "place")
     result = Answer(text, [tuple(r)[1:] for r in shown.orderBy("place").collect()], route, model, asked,
                     present.hit_summary(shown).first()["summary"])
-    rows.unpersist()
     if cache is not None:
         cache[key] = (time.time(), result)
     return result

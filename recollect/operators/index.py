@@ -39,6 +39,12 @@ def token_rows(entries: DataFrame) -> DataFrame:
                            (F.col("pos") < F.col("n_text")).cast("bigint").alias("in_text"))
 
 
+def count_tokens(entries: DataFrame) -> DataFrame:
+    """seq, raw, tf, tf_text, doc_len: the distinct tokens of each entry."""
+    return token_rows(entries).groupBy("seq", "raw").agg(
+        F.count("*").alias("tf"), F.sum("in_text").alias("tf_text"), F.max("doc_len").alias("doc_len"))
+
+
 def build_postings(entries: DataFrame) -> DataFrame:
     """term, raw, seq, tf, tf_text, doc_len.
 
@@ -46,9 +52,7 @@ def build_postings(entries: DataFrame) -> DataFrame:
     (entry, token): no task ever holds all entries of a frequent term. Stemming
     runs after counting, once per entry and distinct token.
     """
-    counted = token_rows(entries).groupBy("seq", "raw").agg(
-        F.count("*").alias("tf"), F.sum("in_text").alias("tf_text"), F.max("doc_len").alias("doc_len"))
-    return with_term(counted).select(*schemas.POSTINGS.fieldNames())
+    return with_term(count_tokens(entries)).select(*schemas.POSTINGS.fieldNames())
 
 
 def corpus_stats(entries: DataFrame, postings: DataFrame) -> DataFrame:
@@ -70,8 +74,19 @@ def sort_postings(postings: DataFrame, partitions: int | None = None) -> DataFra
     return ranged.sortWithinPartitions(*keys)
 
 
+def staged_postings(entries: DataFrame, name: str = "corpus", partitions: int | None = None) -> DataFrame:
+    """The sorted postings of stored entries, each step computed once.
+
+    The counted tokens are written before anything reads them twice (the range sort samples its input), and stemming
+    runs once per distinct token. The join back to the counts may be broadcast or shuffled; hot tokens split there.
+    """
+    counted = stage(count_tokens(entries), f"{name}-tokens")
+    terms = stage(with_term(counted.select("raw").distinct()), f"{name}-terms")
+    return sort_postings(counted.join(terms, "raw").select(*schemas.POSTINGS.fieldNames()), partitions)
+
+
 def staged_index(entries: DataFrame, name: str = "corpus") -> Corpus:
     """An index written to the shared staging folder: entries once, postings sorted by term."""
     kept = stage(entries.select(*schemas.ENTRY_COLS), f"{name}-entries")
-    postings = stage(sort_postings(build_postings(kept)), f"{name}-postings")
+    postings = stage(staged_postings(kept, name), f"{name}-postings")
     return Corpus(kept, postings, stage(corpus_stats(kept, postings), f"{name}-stats"))

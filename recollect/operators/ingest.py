@@ -9,7 +9,10 @@ from recollect.functions.text import nz, strip
 # --- shared ----------------------------------------------------------------------
 
 
-def truncate(text: Column, max_chars: int = fixed.MAX_CHARS) -> Column:
+def truncate(text: Column, max_chars: int | None = None) -> Column:
+    """The whole text, or its start with a mark if it is longer than ``max_chars``."""
+    if max_chars is None:
+        return text
     keep = max_chars - fixed.TRUNCATE_RESERVE
     return F.when(F.length(text) <= max_chars, text).otherwise(
         F.concat(F.substring(text, 1, keep), F.lit(fixed.TRUNCATE_MARK)))
@@ -25,27 +28,22 @@ def already_indexed(keys: DataFrame, entries: DataFrame) -> DataFrame:
     return keys.join(entries.select("uuid"), "uuid", "left_semi")
 
 
-def mark_known(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Turn ``new`` rows whose uuid is stored into ``known``. One shuffle on uuid; only keys of the index move."""
-    stored = entries.select("uuid", F.lit(True).alias("_stored"))
-    hit = F.col("_stored") & (F.col("status") == "new")
-    return rows.join(stored, "uuid", "left").withColumn(
-        "status", F.when(hit, "known").otherwise(F.col("status"))).drop("_stored")
-
+def decide(rows: DataFrame, entries: DataFrame | None, order: str, last: bool) -> DataFrame:
+    """One ``new`` row per uuid: the first of a batch, or the last when re-indexing; stored and lost rows change status.
 
-def keep_one(rows: DataFrame, order: str, last: bool) -> DataFrame:
-    """One ``new`` row per uuid: the first of a batch (others are ``known``), or the last when re-indexing
-    (others are ``replaced``).
-
-    Only (uuid, order) is aggregated, with partial aggregation before the
-    shuffle, so many copies of one uuid cost nothing extra.
+    The decision runs on (uuid, order) alone, with partial aggregation before the shuffle, so many copies of one uuid
+    cost nothing extra and no text moves for it. Rows then meet their decision in one join.
     """
     pick = F.max(order) if last else F.min(order)
-    fresh = rows.where("status = 'new'")
-    winners = fresh.groupBy("uuid").agg(pick.alias(order)).withColumn("_first", F.lit(True))
-    lost = F.col("_first").isNull() & (F.col("status") == "new")
-    return rows.join(winners, ["uuid", order], "left").withColumn(
-        "status", F.when(lost, "replaced" if last else "known").otherwise(F.col("status"))).drop("_first")
+    decisions = rows.where("status = 'new'").groupBy("uuid").agg(pick.alias("_pick"))
+    stored = F.lit(False)
+    if entries is not None:
+        decisions = decisions.join(entries.select("uuid", F.lit(True).alias("_stored")), "uuid", "left")
+        stored = F.coalesce("_stored", F.lit(False))
+    decisions = decisions.select("uuid", "_pick", stored.alias("_stored"))
+    lost = F.col("_stored") | (F.col(order) != F.col("_pick"))
+    status = F.when((F.col("status") == "new") & lost, "replaced" if last else "known").otherwise(F.col("status"))
+    return rows.join(decisions, "uuid", "left").withColumn("status", status).drop("_pick", "_stored")
 
 
 # --- messages ----------------------------------------------------------------------
@@ -77,7 +75,7 @@ def ingest_messages(messages: DataFrame, handles: DataFrame, entries: DataFrame,
                     limit: int | None = None, force: bool = False) -> DataFrame:
     """Message rows with a status: ``new``, ``known`` or ``empty``."""
     rows = message_rows(messages, handles, limit)
-    return keep_one(rows, "rowid", last=True) if force else keep_one(mark_known(rows, entries), "rowid", last=False)
+    return decide(rows, None if force else entries, "rowid", last=force)
 
 
 # --- documents -----------------------------------------------------------------------
@@ -123,8 +121,11 @@ def plain_text(files: DataFrame) -> DataFrame:
     return files.select("*", F.lit("plaintext").alias("extractor"), F.lit(None).cast("string").alias("error"))
 
 
-def document_rows(extracted: DataFrame, root: str, root_name: str, max_chars: int = fixed.MAX_CHARS) -> DataFrame:
-    """Entry rows of extracted files: ``new``, ``empty`` (nothing in it) or ``error`` (empty after a failure)."""
+def document_rows(extracted: DataFrame, root: str, root_name: str, max_chars: int | None = None) -> DataFrame:
+    """Entry rows of extracted files: ``new``, ``empty`` (nothing in it) or ``error`` (empty after a failure).
+
+    ``cut_chars`` counts what ``max_chars`` cuts off.
+    """
     text = strip(nz("text"))
     real = F.concat(F.lit(root + "/"), F.col("rel_path"))
     status = F.when(text != "", "new").when(F.col("error").isNotNull(), "error").otherwise("empty")
@@ -133,20 +134,23 @@ def document_rows(extracted: DataFrame, root: str, root_name: str, max_chars: in
         "filename": F.col("rel_path"),
         "date_iso": dates.mtime_iso("mtime_ns"),
         "ocr_text": truncate(text, max_chars),
+        "cut_chars": F.lit(0) if max_chars is None else F.greatest(F.length(text) - max_chars, F.lit(0)),
         "vlm_text": doc_meta(F.col("mtime_ns"), F.col("size"), F.col("rel_path"), root_name, F.col("extractor")),
         "image_path_used": real,
         "status": status,
     }).drop("text")
 
 
-def skipped_lists(rows: DataFrame, cap: int = fixed.REPORT_LIST_CAP) -> DataFrame:
-    """The skipped-files report: the first ``cap`` files of each kind in path order."""
-    kinds = [rows.where(F.col("status") == k).select(F.lit(k).alias("kind"), "rel_path", "extractor", "error")
-             .orderBy("rel_path").limit(cap) for k in ("empty", "error")]
+def skipped_lists(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """The skipped-files report: every file of each kind, or the first ``cap`` in path order."""
+    listed = rows.where(F.col("status").isin("empty", "error")).select(F.col("status").alias("kind"), "rel_path", "extractor", "error")
+    if cap is None:
+        return listed
+    kinds = [listed.where(F.col("kind") == k).orderBy("rel_path").limit(cap) for k in ("empty", "error")]
     return kinds[0].unionByName(kinds[1])
 
 
-def skipped_overflow(rows: DataFrame, cap: int = fixed.REPORT_LIST_CAP) -> DataFrame:
+def skipped_overflow(rows: DataFrame, cap: int) -> DataFrame:
     """How many files of each kind the report does not list."""
     return (rows.where(F.col("status").isin("empty", "error")).groupBy(F.col("status").alias("kind"))
             .agg(F.count("*").alias("n"), F.greatest(F.count("*") - cap, F.lit(0).cast("bigint")).alias("not_listed")))

@@ -2,12 +2,11 @@
 
 import contextlib
 import json
-import os
 import time
 
 from pyspark.sql import DataFrame, functions as F
 
-from recollect import fixed, schemas
+from recollect import schemas
 from recollect.functions import rules
 from recollect.functions.dates import elapsed
 
@@ -46,7 +45,8 @@ def prune_postings(postings: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def run_prune(store, dry_run: bool = False, yes: bool = False, compact: bool = False, sample: int = 10) -> dict:
-    """Prune a stored corpus, guarded: nothing is deleted without ``yes``. ``code`` is 1 on refusal."""
+    """Prune a stored corpus, guarded: nothing is deleted without ``yes``, nor while another run
+    holds the index. ``code`` is 1 on refusal. Postings of what stays are kept as they are."""
     entries = store.entries()
     noise = find_noise(entries)
     total = noise.count()
@@ -56,11 +56,15 @@ def run_prune(store, dry_run: bool = False, yes: bool = False, compact: bool = F
         return report
     if total and not yes:
         return {**report, "code": 1}
-    if total:
-        store.write(prune(entries))
-        report["deleted"] = total
-    if compact:
-        store.compact()
+    with index_lock(store.spark, store.root) as held:
+        if not held:
+            return {**report, "code": 1}
+        if total:
+            corpus = store.corpus()
+            store.write(prune(corpus.entries), prune_postings(corpus.postings, corpus.entries))
+            report["deleted"] = total
+        if compact:
+            store.compact()
     return report
 
 
@@ -83,15 +87,31 @@ def document_summary(counts: DataFrame) -> dict:
                             "temp_prefix": get("temp"), "noise_dirs": get("noise")}}
 
 
-def write_report(path: str, payload: dict, started: float, finished: bool = True) -> dict:
-    """A run report as a small JSON file, replaced as a whole."""
+def _hadoop(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """A small file on any file system that Spark reaches, replaced as a whole."""
+    fs, target = _hadoop(spark, path)
+    _, part = _hadoop(spark, path + ".part")
+    fs.mkdirs(target.getParent())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(part, target)
+
+
+def write_report(spark, path: str, payload: dict, started: float, finished: bool = True) -> dict:
+    """A run report as a small JSON file."""
     now = time.time()
     full = {**payload, "started_at_unix": started, "updated_at_unix": now, "elapsed_s": round(now - started, 3),
             "ingest_finished": finished}
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(full, f, indent=2, ensure_ascii=False)
-    os.replace(path + ".tmp", path)
+    write_text(spark, path, json.dumps(full, indent=2, ensure_ascii=False))
     return full
 
 
@@ -99,37 +119,17 @@ def write_report(path: str, payload: dict, started: float, finished: bool = True
 
 
 @contextlib.contextmanager
-def ingest_lock(path: str):
-    """Yields whether this process holds the lock; never waits."""
-    import fcntl
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "a+", encoding="utf-8") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            held = True
-        except BlockingIOError:
-            held = False
-        try:
-            yield held
-        finally:
-            if held:
-                fcntl.flock(f, fcntl.LOCK_UN)
-
-
-def is_transient(error: BaseException) -> bool:
-    """A lock or busy error that may go away."""
-    text = str(error).lower()
-    return any(m in text for m in fixed.LOCK_MARKERS) or (
-        isinstance(error, OSError) and error.errno in fixed.LOCK_ERRNOS)
-
-
-def retry(action, wait: float = fixed.LOCK_WAIT_S, retries: int = fixed.LOCK_RETRIES, log=lambda _: None, sleep=time.sleep):
-    """Run ``action`` again after transient errors."""
-    for attempt in range(retries + 1):
-        try:
-            return action()
-        except BaseException as e:  # noqa: BLE001
-            if attempt == retries or not is_transient(e):
-                raise
-            log(f"[wait] blocked ({e!r}), attempt {attempt + 1}/{retries}")
-            sleep(wait)
+def index_lock(spark, index: str):
+    """Yields whether this process holds the index's lock file; never waits.
+
+    The file lies beside the index, on the file system that all users of it share. A run that was killed leaves it
+    behind; it is then removed by hand.
+    """
+    fs, path = _hadoop(spark, index.rstrip("/") + ".lock")
+    fs.mkdirs(path.getParent())
+    held = fs.createNewFile(path)
+    try:
+        yield held
+    finally:
+        if held:
+            fs.delete(path, False)

@@ -38,7 +38,7 @@ class Plan:
 def plan_question(question: str, top_k: int, user_synonyms=None) -> Plan:
     """Passes of the interactive search."""
     plan = Plan(limit=max(4 * top_k, 40), enough=max(6 * top_k, 80))
-    variants = rewrite.expand(question, user_synonyms)
+    variants = rewrite.expand(question, user_synonyms, fixed.MAX_EXPANSIONS)
     no = _rank_passes(plan, variants)
     for v in variants:
         no += 1
@@ -56,7 +56,7 @@ def plan_question(question: str, top_k: int, user_synonyms=None) -> Plan:
 def plan_cli(question: str, top_k: int, user_synonyms=None) -> Plan:
     """Passes of the command-line search: no message words, no sweep, a lower bar."""
     plan = Plan(limit=top_k, enough=2 * top_k)
-    variants = rewrite.expand(question, user_synonyms)
+    variants = rewrite.expand(question, user_synonyms, fixed.MAX_EXPANSIONS)
     no = _rank_passes(plan, variants)
     for v in variants:
         no += 1

@@ -11,21 +11,15 @@ from recollect.operators import rewrite
 from recollect.operators.index import Corpus
 from recollect.operators.ingest import index_doc
 
-BROADCAST_ROWS = 100_000   # of narrow rows whose number a limit bounds
-GROUP_LIMIT = 1_000        # up to here Spark keeps only the first rows of a group before shuffling
-SALTS = 64
+BROADCAST_ROWS = rewrite.BROADCAST_ROWS
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def keep_first(df: DataFrame, group: str, order: list[Column], n: int, position: str = "pos") -> DataFrame:
-    """The first n rows of each group, numbered.
-
-    Spark cuts each group to n rows before the shuffle while n is small; above
-    that, a salted first round does it, so that a hot group is never sorted in one task.
-    """
-    if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)))
-        w = Window.partitionBy(group, "_salt").orderBy(*order)
-        df = salted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_salt", "_r")
+    """The first n rows of each group, numbered. Spark cuts each group to n rows before the shuffle, whatever n is."""
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < n:
+        conf.set(GROUP_LIMIT, str(n))
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn(position, F.row_number().over(w)).where(F.col(position) <= n)
 
@@ -100,15 +94,15 @@ def phrase_counts(corpus: Corpus, phrases: list) -> DataFrame:
 def bm25(corpus: Corpus, queries: dict) -> DataFrame:
     """pass_no, seq, rank for every entry that matches all phrases of a pass; lower ranks are better.
 
-    All passes share one scan of the postings. Document frequencies and corpus
-    statistics enter as scalar subqueries.
+    Document frequencies and corpus statistics enter as scalar subqueries. The frequencies read every column that the
+    scores read, so that both come from one scan and one exchange.
     """
     ranked = Ranked.of(queries)
     if not ranked.passes:
         return corpus.entries.sparkSession.createDataFrame([], "pass_no int, seq bigint, rank double")
     n = len(ranked.phrases)
     counts = phrase_counts(corpus, ranked.phrases)
-    df = counts.agg(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(n)])
+    df = counts.agg(F.max("doc_len").alias("longest"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"n{i}") for i in range(n)])
     with_stats = counts.withColumns({
         "df": df.select(F.struct("*")).scalar(), "st": corpus.stats.select(F.struct("n_docs", "total_len")).scalar()})
     docs = F.col("st.n_docs").cast("double")

@@ -103,13 +103,14 @@ CTES["page_files"] = """
 CTES["files"] = "SELECT * FROM doc_files UNION ALL SELECT * FROM page_files"
 
 
-def doc_rows(max_chars: int, source: str = "files") -> str:
+def doc_rows(max_chars: int | None, source: str = "files") -> str:
     t = strip("coalesce(text, '')")
+    text = t if max_chars is None else f"""CASE WHEN length({t}) <= {max_chars} THEN {t}
+              ELSE substr({t}, 1, {max_chars - 80}) || chr(10) || chr(10) || '… [truncated for index size]' || chr(10) END"""
     return f"""
   SELECT seq, 'doc:' || substr(sha256('/corpus/' || rel_path), 1, 24) AS uuid, rel_path AS filename,
          CASE WHEN mtime_ns > 0 THEN {iso('(mtime_ns // 1000)')} END AS date_iso,
-         CASE WHEN length({t}) <= {max_chars} THEN {t}
-              ELSE substr({t}, 1, {max_chars - 80}) || chr(10) || chr(10) || '… [truncated for index size]' || chr(10) END AS ocr_text,
+         {text} AS ocr_text,
          '[docmeta] mtime_ns=' || mtime_ns || ' size=' || size || chr(10) || 'source=dropbox_documents root=corpus'
            || chr(10) || 'rel_path=' || rel_path || chr(10) || 'extractor=plaintext' AS vlm_text,
          '/corpus/' || rel_path AS image_path_used,
@@ -117,7 +118,7 @@ def doc_rows(max_chars: int, source: str = "files") -> str:
   FROM {source}"""
 
 
-CTES["document_rows"] = doc_rows(400000)
+CTES["document_rows"] = doc_rows(None)
 
 CTES["photo"] = """
   SELECT p_partkey * 4 + 3 AS seq, 'photo-' || p_partkey AS uuid,

@@ -55,7 +55,8 @@ EXTRACTED = f"""
 REPORT = f"""
   SELECT CASE WHEN failed THEN 'error' ELSE 'empty' END AS kind, rel_path, 'unsupported' AS extractor,
          CASE WHEN failed THEN 'ImportError: no reader for ' || ext END AS error FROM ({EXTRACTED}) WHERE NOT ok"""
-ORACLE["skipped_report"] = sql(
+ORACLE["skipped_report"] = sql(f"SELECT kind, rel_path, extractor, error FROM ({REPORT})", "classified")
+ORACLE["skipped_report_capped"] = sql(
     f"SELECT kind, rel_path, extractor, error FROM ({REPORT}) QUALIFY row_number() OVER (PARTITION BY kind ORDER BY rel_path) <= 100", "classified")
 ORACLE["skipped_report_overflow"] = sql(
     f"SELECT kind, count(*) AS n, greatest(count(*) - 100, 0) AS not_listed FROM ({REPORT}) GROUP BY 1", "classified")
@@ -72,7 +73,7 @@ ORACLE["upsert_entries"] = sql(
         UNION ALL
         SELECT seq, uuid, date_iso, md5(ocr_text), CAST(1700000000 + seq % 86400 AS DOUBLE) FROM again WHERE status = 'new'""",
     "entries", touched="SELECT seq + 8000000000000 AS seq, rel_path, name, mtime_ns + 1000000000 AS mtime_ns, size, text FROM doc_files",
-    again=o.doc_rows(400000, "touched"))
+    again=o.doc_rows(None, "touched"))
 
 # ===== rewriting ======================================================================
 ORACLE["fts_query_builder"] = sql(
@@ -107,6 +108,10 @@ def expansion(user: dict) -> str:
 ORACLE["synonym_expand"] = expansion({})
 ORACLE["synonym_expand_user"] = expansion({"uber": ["cab ride"], "texts": ["texts", "chat"]})
 ORACLE["term_vocab"] = sql(
+    """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
+         '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM entries""", "entries")
+NAME = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE lower(c_name) END"
+ORACLE["term_vocab_newest"] = sql(
     """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
          '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM (SELECT * FROM entries ORDER BY ingested_at DESC, seq LIMIT 5000)""", "entries")
 NAME = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE lower(c_name) END"
@@ -246,9 +251,9 @@ def line(place: str) -> str:
     ocr, vlm = excerpt("ocr_text"), excerpt("vlm_text")
     return f"""'**' || {place} || '. ' || CASE WHEN filename = '' THEN uuid ELSE filename END || '**  ' || {NL} || '_' || {LABEL} || ' • '
       || CASE WHEN shown = '' THEN 'n/a' ELSE shown END || '_  ' || {NL}
-      || CASE WHEN {ocr} <> '' THEN {ocr} WHEN {vlm} <> '' THEN {vlm} ELSE '(no snippet)' END || '  ' || {NL}
-      || CASE WHEN image_path_used <> '' THEN '[Open local file](/open-local-file?path=' || url_encode(image_path_used) || ')'
-              WHEN {MSG} THEN 'Use **Open Messages.app** below to jump to your texts' ELSE '(no local link)' END
+      || CASE WHEN {ocr} <> '' THEN {ocr} WHEN {vlm} <> '' THEN {vlm} ELSE '(without text)' END || '  ' || {NL}
+      || CASE WHEN image_path_used <> '' THEN '[file](file://' || url_encode(image_path_used) || ')'
+              WHEN {MSG} THEN 'a chat message' ELSE 'no file' END
       || ' — ref: `' || CASE WHEN image_path_used <> '' THEN image_path_used ELSE uuid END || '`'"""
 
 

@@ -112,7 +112,7 @@ def ingest_documents_skip_counts(spark, d) -> DataFrame:
     return ingest.skip_counts(ingest.classify_files(C.listing(spark, d)))
 
 
-def _document_rows(spark, d, max_chars=fixed.MAX_CHARS) -> DataFrame:
+def _document_rows(spark, d, max_chars=None) -> DataFrame:
     files = C.document_files(spark, d).unionByName(C.page_files(spark, d))
     return ingest.document_rows(ingest.plain_text(files), C.ROOT, C.ROOT_NAME, max_chars)
 
@@ -164,6 +164,12 @@ def _extracted(spark, d) -> DataFrame:
 
 @query
 def skipped_report(spark, d) -> DataFrame:
+    rows = ingest.document_rows(_extracted(spark, d), C.ROOT, C.ROOT_NAME)
+    return ingest.skipped_lists(rows)
+
+
+@query
+def skipped_report_capped(spark, d) -> DataFrame:
     rows = ingest.document_rows(_extracted(spark, d), C.ROOT, C.ROOT_NAME)
     return ingest.skipped_lists(rows, cap=100)
 
@@ -220,14 +226,14 @@ def normalize_question(spark, d) -> DataFrame:
 
 @query
 def synonym_expand(spark, d) -> DataFrame:
-    out = rewrite.with_expansions(C.questions(spark, d))
+    out = rewrite.with_expansions(C.questions(spark, d), limit=fixed.MAX_EXPANSIONS)
     return out.select("qid", F.posexplode_outer("expansions").alias("pos", "expansion"))
 
 
 @query
 def synonym_expand_user(spark, d) -> DataFrame:
     """With a user's synonyms: one key extended, one added."""
-    out = rewrite.with_expansions(C.questions(spark, d), user={"uber": ["cab ride"], "texts": ["texts", "chat"]})
+    out = rewrite.with_expansions(C.questions(spark, d), user={"uber": ["cab ride"], "texts": ["texts", "chat"]}, limit=fixed.MAX_EXPANSIONS)
     return out.select("qid", F.posexplode_outer("expansions").alias("pos", "expansion"))
 
 
@@ -236,6 +242,11 @@ def term_vocab(spark, d) -> DataFrame:
     return rewrite.term_vocab(corpus(spark, d).entries)
 
 
+@query
+def term_vocab_newest(spark, d) -> DataFrame:
+    return rewrite.term_vocab(corpus(spark, d).entries, fixed.VOCAB_ROWS)
+
+
 def _typed(spark, d) -> DataFrame:
     """Questions with two letters swapped in their words, as typed in haste."""
     swap = F.regexp_replace("question", r"\b([A-Za-z]{4})([a-z])([a-z])", "$1$3$2")
@@ -460,7 +471,7 @@ def gallery(spark, d) -> DataFrame:
     from pyspark.sql import Window
     placed = found.withColumn("place", F.row_number().over(Window.orderBy(*search.recency())))
     on_disk = C.photos(spark, d).select(F.explode("path_derivatives").alias("f")).where("f.exists").select("f.path")
-    return present.gallery(present.preview(placed, "place"), on_disk)
+    return present.gallery(present.preview(placed, "place"), on_disk, cap=fixed.GALLERY_CAP)
 
 
 @query

@@ -1,6 +1,6 @@
-"""Incremental ingest: file streams whose batches are upserted into a stored corpus.
+"""Incremental ingest into a stored corpus: documents as a batch run over a complete listing, messages as a file stream.
 
-A replayed batch writes the same rows again, because an upsert is by uuid.
+A run that is repeated writes the same rows again, because an upsert is by uuid.
 """
 
 import time
@@ -8,14 +8,13 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recollect import fixed, schemas
-from recollect.operators import ingest
-from recollect.session import stage
+from recollect import schemas
+from recollect.operators import ingest, maintain
+from recollect.session import drop_staged, stage
 from recollect.sources import extract
 from recollect.sources.store import CorpusStore, next_seq
 
 MESSAGES = "rowid bigint, guid string, text string, date_raw bigint, is_from_me int, handle_rowid bigint"
-FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def store_rows(store: CorpusStore, rows: DataFrame, now: float) -> int:
@@ -26,47 +25,66 @@ def store_rows(store: CorpusStore, rows: DataFrame, now: float) -> int:
     n = kept.count()
     if n:
         store.apply(kept)
+    drop_staged(kept)
     return n
 
 
-def documents_batch(store: CorpusStore, files: DataFrame, root: str, root_name: str, force=False,
-                    include_audio=False, include_images=False, max_chars: int = fixed.MAX_CHARS, fallback=None) -> DataFrame:
-    """Rows of one batch of files (``rel_path, name, outside_root, mtime_ns, size, content``), with a status for each."""
+def stored_entries(store: CorpusStore) -> DataFrame:
+    return store.entries() if store.exists() else store.spark.createDataFrame([], schemas.ENTRIES)
+
+
+def document_batch(store: CorpusStore, files: DataFrame, root: str, force=False, include_audio=False, include_images=False,
+                   max_chars: int | None = None, limit: int | None = None, fallback=None) -> DataFrame:
+    """A status for each listed file, and the entry rows of those that are read: candidates that changed or are new.
+
+    Only names, times and sizes decide which files are read. ``limit`` reads the first candidates in path order.
+    """
+    base = extract.file_system(root)[1].rstrip("/")
     marked = ingest.classify_files(files, include_audio, include_images)
     skipped = marked.where("status <> 'candidate'").select("rel_path", "status")
-    found = marked.where("status = 'candidate'").withColumn("uuid", ingest.doc_uuid(F.concat(F.lit(root + "/"), "rel_path")))
-    stored = store.entries() if store.exists() else found.sparkSession.createDataFrame([], schemas.ENTRIES)
-    found = ingest.split_unchanged(found.drop("status"), stored, force)
-    read = extract.extract(found.where(~F.col("unchanged")), fallback)
-    rows = ingest.document_rows(read, root, root_name, max(fixed.MIN_MAX_CHARS, max_chars))
+    found = marked.where("status = 'candidate'").drop("status")
+    if limit is not None:
+        found = found.orderBy("rel_path").limit(limit)
+    found = found.withColumn("uuid", ingest.doc_uuid(F.concat(F.lit(base + "/"), "rel_path")))
+    found = ingest.split_unchanged(found, stored_entries(store), force)
+    read = extract.extract(extract.with_content(root, found.where(~F.col("unchanged"))), fallback)
+    rows = ingest.document_rows(read, base, base.rsplit("/", 1)[-1], max_chars)
     same = found.where("unchanged").select("rel_path", F.lit("unchanged").alias("status"))
     return rows.unionByName(skipped.unionByName(same), allowMissingColumns=True)
 
 
-def stream_documents(spark: SparkSession, root: str, store: CorpusStore, checkpoint: str, **options) -> StreamingQuery:
-    """New files below ``root``, as far as they are there now."""
-    base = "/" + root.split(":", 1)[-1].strip("/")
-    name = base.rsplit("/", 1)[-1]
-    stream = (spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
-              .option("maxFilesPerTrigger", options.pop("files_per_batch", 10_000)).load(root))
-
-    def batch(df: DataFrame, _: int) -> None:
-        path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-        rel = F.substring(path, F.lit(len(base) + 2), F.length(path))
-        files = df.select(rel.alias("rel_path"), F.substring_index(rel, "/", -1).alias("name"), F.lit(False).alias("outside_root"),
-                          (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content")
-        store_rows(store, documents_batch(store, files, base, name, **options), time.time())
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_documents(spark: SparkSession, root: str, store: CorpusStore, report: str | None = None, **options) -> dict:
+    """One run over all files below ``root``; its counters. With ``report``, they and the skipped files are written there."""
+    started = time.time()
+    rows = stage(document_batch(store, extract.walk(spark, root), root, **options), "documents")
+    store_rows(store, rows, started)
+    counts = maintain.document_summary(ingest.status_counts(rows))
+    counts["cut_chars"] = rows.agg(F.coalesce(F.sum("cut_chars"), F.lit(0))).first()[0]
+    if report:
+        ingest.skipped_lists(rows).write.mode("overwrite").json(f"{report.rstrip('/')}/skipped")
+        maintain.write_report(spark, f"{report.rstrip('/')}/documents.json", counts, started)
+    drop_staged(rows)
+    return counts
+
+
+def ingest_rows(store: CorpusStore, rows: DataFrame, name: str, report: str | None = None) -> dict:
+    """Stores message or photo rows that are new; counts of every status."""
+    started = time.time()
+    rows = stage(rows, name)
+    store_rows(store, rows.drop("seq", "ingested_at"), started)
+    counts = {r["status"]: r["n"] for r in ingest.status_counts(rows).collect()}
+    if report:
+        maintain.write_report(store.spark, f"{report.rstrip('/')}/{name}.json", counts, started)
+    drop_staged(rows)
+    return counts
 
 
 def stream_messages(spark: SparkSession, path: str, handles: DataFrame, store: CorpusStore, checkpoint: str,
                     force: bool = False) -> StreamingQuery:
-    """New Parquet files of chat rows below ``path``."""
-    stream = spark.readStream.schema(MESSAGES).parquet(path)
+    """New Parquet files of chat rows below ``path``, whatever their age."""
+    stream = spark.readStream.schema(MESSAGES).option("maxFileAge", "36500d").parquet(path)
 
     def batch(df: DataFrame, _: int) -> None:
-        stored = store.entries() if store.exists() else df.sparkSession.createDataFrame([], schemas.ENTRIES)
-        store_rows(store, ingest.ingest_messages(df, handles, stored, force=force), time.time())
+        store_rows(store, ingest.ingest_messages(df, handles, stored_entries(store), force=force), time.time())
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -168,10 +168,20 @@ def test_driver_and_table_stemming_agree(spark):
     assert got == {w: stem_word(w) for w in words}
 
 
-def test_keep_first_is_exact_when_salted(spark, monkeypatch):
-    monkeypatch.setattr(search, "GROUP_LIMIT", 10)
+def test_keep_first_cuts_before_the_shuffle_at_any_limit(spark):
+    wide = spark.range(9000).selectExpr("id AS seq", "IF(id < 8000, 'hot', 'b') AS g", "id AS o")
+    first = search.keep_first(wide, "g", [F.asc("o")], 4000)
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString() and first.count() == 5000
     df = spark.range(5000).selectExpr("id AS seq", "IF(id % 3 = 0, 'hot', 'b') AS g", "id * 7919 % 5003 AS o")
     got = sorted((r.g, r.o) for r in search.keep_first(df, "g", [F.asc("o")], 40).collect())
     every = [("hot" if i % 3 == 0 else "b", i * 7919 % 5003) for i in range(5000)]
     want = [x for g in ("b", "hot") for x in sorted(e for e in every if e[0] == g)[:40]]
     assert got == sorted(want)
+
+
+def test_ranking_scans_the_postings_once(both):
+    _, _, c = both
+    df = search.search(c, "charge max", 5)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 1

@@ -51,7 +51,8 @@ def tree(tmp_path):
 
 def test_office_texts():
     assert extract.docx_text(DOCX) == "Hello\tnetflix\na\tb"
-    assert extract.xlsx_text(XLSX) == "## Sheet: One\nrent\t\t12.5"
+    assert extract.xlsx_text(XLSX) == "## Sheet: One\nrent\t\t12.5\n9"
+    assert extract.xlsx_text(XLSX, sheet_rows=5000) == "## Sheet: One\nrent\t\t12.5"
     assert extract.pptx_text(PPTX) == "slide 2\nslide 10"
     assert extract.read_one(".docx", b"x")[1:] == ("unsupported", "BadZipFile: File is not a zip file")
     assert extract.read_one(".doc", b"x", lambda e, d: "converted text") == ("converted text", "textutil", None)
@@ -59,31 +60,79 @@ def test_office_texts():
 
 
 def test_walk(spark, tree):
-    got = {r.rel_path: r.size for r in extract.walk(spark, str(tree)).collect()}
-    want = {os.path.relpath(os.path.join(d, f), tree): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tree) for f in fs}
-    hidden = {k for k in want if k.startswith((".", "_")) or "/." in k}
-    assert {k: v for k, v in want.items() if k not in hidden} == {k: v for k, v in got.items() if k not in hidden}
+    (tree / "_notes.md").write_bytes(b"under")
+    (tree / "empty_dir").mkdir()
+    got = {r.rel_path: (r.size, r.mtime_ns) for r in extract.walk(spark, str(tree)).collect()}
+    paths = [os.path.join(d, f) for d, _, fs in os.walk(tree) for f in fs]
+    assert got == {os.path.relpath(p, tree): (os.path.getsize(p), os.stat(p).st_mtime_ns) for p in paths}
 
 
-def test_document_batch_and_stream(spark, tree, tmp_path):
+TEXTS = {"a.txt": "plain charge", "sub/b.md": "with mark", "c.csv": "café", "d.log": "wide", "e.docx": "Hello\tnetflix\na\tb",
+         "f.xlsx": "## Sheet: One\nrent\t\t12.5\n9", "g.pptx": "slide 2\nslide 10"}
+
+
+def test_document_runs(spark, tree, tmp_path):
     store = CorpusStore(spark, str(tmp_path / "index"), buckets=4)
-    ck = str(tmp_path / "ck")
-    incremental.stream_documents(spark, str(tree), store, ck).awaitTermination()
-    stored = {r.filename: r.ocr_text for r in store.entries().collect()}
-    assert stored == {"a.txt": "plain charge", "sub/b.md": "with mark", "c.csv": "café", "d.log": "wide", "e.docx": "Hello\tnetflix\na\tb",
-                      "f.xlsx": "## Sheet: One\nrent\t\t12.5", "g.pptx": "slide 2\nslide 10"}
+    run = lambda **o: incremental.ingest_documents(spark, str(tree), store, str(tmp_path / "report"), **o)
+    texts = lambda: {r.filename: r.ocr_text for r in store.entries().collect()}
+    first = run()
+    assert texts() == TEXTS and first["indexed_this_run"] == 7 and first["skipped_empty"] == 3 and first["errors"] == 1
+    assert first["skip_counts"] == {"video": 1, "hidden": 1, "image_or_audio": 2, "temp_prefix": 1, "noise_dirs": 1}
+    assert {r.rel_path for r in spark.read.json(str(tmp_path / "report" / "skipped")).collect()} == {"bad.docx", "blank.txt", "x.bin"}
+    second = run()
+    assert second["indexed_this_run"] == 0 and second["skipped_unchanged"] == 7 and texts() == TEXTS
+    (tree / "_notes.md").write_bytes(b"under netflix")
+    (tree / "old.txt").write_bytes(b"synced late")
+    os.utime(tree / "old.txt", (10 ** 9, 10 ** 9))
+    (tree / "a.txt").write_bytes(b"changed text")
+    os.utime(tree / "a.txt", (2 * 10 ** 9, 2 * 10 ** 9))
+    assert run()["indexed_this_run"] == 3
+    assert texts() == TEXTS | {"a.txt": "changed text", "old.txt": "synced late", "_notes.md": "under netflix"}
+    os.utime(tree / "a.txt", (2 * 10 ** 9, 2 * 10 ** 9))
+    (tree / "a.txt").write_bytes(b"forced texts")
+    os.utime(tree / "a.txt", (2 * 10 ** 9, 2 * 10 ** 9))
+    assert run()["indexed_this_run"] == 0 and run(force=True)["indexed_this_run"] == 9 and texts()["a.txt"] == "forced texts"
+    assert sorted(r.filename for r in search.search(store.corpus(), "netflix").collect()) == ["_notes.md", "e.docx"]
+    assert run(force=True, limit=2)["indexed_this_run"] == 2 and run(force=True, max_chars=10_000)["cut_chars"] == 0
+
+
+def test_skipped_files_are_not_read_and_unreadable_ones_are_errors(spark, tree, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "index"), buckets=2)
     files = extract.walk(spark, str(tree))
-    rows = incremental.documents_batch(store, extract.with_content(spark, str(tree), files), str(tree), "docs")
-    counts = {r.status: r.n for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    assert counts["unchanged"] == 7 and counts["empty"] == 2 and counts["error"] == 1 and "new" not in counts
-    assert (counts["temp"], counts["video"], counts["media"], counts["noise"]) == (1, 1, 2, 1)
-    summary = maintain.document_summary(rows.groupBy("status").agg(F.count("*").alias("n")))
-    assert summary["skipped_empty"] == 3 and summary["errors"] == 1 and summary["skip_counts"]["image_or_audio"] == 2
-    (tree / "new.txt").write_bytes(b"brand new netflix")
-    incremental.stream_documents(spark, str(tree), store, ck).awaitTermination()
-    assert store.entries().count() == 8
-    hits = search.search(store.corpus(), "netflix").collect()
-    assert sorted(r.filename for r in hits) == ["e.docx", "new.txt"]
+    for name in ("m.MP4", "~$t.txt", "node_modules/q.txt", "a.txt"):
+        (tree / name).unlink()
+    rows = {r.rel_path: r for r in incremental.document_batch(store, files, str(tree)).collect()}
+    assert rows["a.txt"].status == "error" and rows["a.txt"].error.startswith("FileNotFoundError")
+    assert (rows["m.MP4"].status, rows["~$t.txt"].status, rows["node_modules/q.txt"].status) == ("video", "temp", "noise")
+
+
+def test_broken_utf16(spark):
+    cases = [b"\xff\xfea\x00b", b"\xff\xfea\x00\x00\xd8b\x00", b"\xfe\xff\x00a\xdc\x00\x00b", b"\xff\xfe", "ok 😀".encode("utf-16"),
+             b"\xfe\xff" + "é😀x".encode("utf-16-be"), b"\xff\xfe\x00\xd8\x00\xd8\x00\xdc\x00\xdc"]
+    got = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, b binary").select("i", extract.decode_plain("b").alias("t")).collect()
+    assert [r.t for r in sorted(got, key=lambda r: r.i)] == [c.decode("utf-16", "replace") for c in cases]
+
+
+def test_lock(spark, tmp_path):
+    with maintain.index_lock(spark, str(tmp_path / "i")) as one, maintain.index_lock(spark, str(tmp_path / "i")) as two:
+        assert one and not two
+    with maintain.index_lock(spark, str(tmp_path / "i")) as again:
+        assert again
+
+
+def test_command_line_sources(spark, tmp_path):
+    from recollect import __main__ as cli
+    store = CorpusStore(spark, str(tmp_path / "index"), buckets=2)
+    C.chat_messages(spark, SF).write.parquet(str(tmp_path / "chat"))
+    C.handles(spark, SF).write.parquet(str(tmp_path / "handles"))
+    C.photos(spark, SF).write.parquet(str(tmp_path / "photos"))
+    call = lambda *more: cli.run_ingest(spark, store, cli.arguments(["ingest", "--index", store.root, *more]))
+    chat = ["--source", "messages", "--root", str(tmp_path / "chat"), "--handles", str(tmp_path / "handles"), "--checkpoint", str(tmp_path / "r")]
+    first, again = call(*chat), call(*chat)
+    assert first["new"] > 0 and "new" not in again and again["known"] == first["new"] + first.get("known", 0)
+    photos = call("--source", "photos", "--root", str(tmp_path / "photos"), "--limit", "20")
+    assert photos["new"] > 0 and store.entries().count() == first["new"] + photos["new"]
+    assert (tmp_path / "r" / "messages.json").exists()
 
 
 def test_versions_prune_and_pruned_fetch(spark, tmp_path):
