@@ -264,7 +264,7 @@ def test_secrets_match_patterns_and_entropy(spark, empty):
         assert r["doc_id"] == i and r["base_sha256"] == hashlib.sha256(brute_base(t).encode()).hexdigest()
         assert set(filter(None, brute_base(t).split(","))) <= set(r["spans"].split(","))
     spans = {r["doc_id"]: r["spans"] for r in rows}
-    assert spans[5] == "entropy_mixed:0:24" and spans[6] == "" and spans[10] == "" and "entropy_hex:25:52" in spans[9] and spans[7] == ""
+    assert spans[5] == "entropy_mixed:0:24" and spans[6] == "" and spans[10] == "hex:0:25" and "entropy_hex:25:52" in spans[9] and spans[7] == ""
     assert secret_scan.find(empty).collect() == []
 
 
