@@ -10,16 +10,19 @@ from pyspark.sql import DataFrame, functions as F
 from recollect.llm.frames import stage
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one smaller neighbour at most, and none that has a smaller one itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    seen = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return seen.where("out > 1 OR (out = 1 AND in = 1)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root): every vertex that has a link, with the least vertex reachable from it."""
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = stage(pairs.distinct(), "links")
-    state = _state(edges)
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         least = stage(least, "least-neighbours")
@@ -28,9 +31,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
     roots = edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("vertex"), "root").distinct())

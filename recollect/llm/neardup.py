@@ -106,7 +106,8 @@ def leaders(forest: DataFrame, several: int = 4) -> DataFrame:
     counts = stage(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
     within = stage(rows.join(counts, "region"), "shared-regions")
     density = within.groupBy("cls").agg(F.sum("n").alias("density"))
-    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("density"), "cls"))
+    # many classes of a large region tie; each region draws its own of them, so that a class meets most of the densest
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("density"), F.xxhash64("region", "cls"), "cls"))
     first = within.join(density, "cls").withColumn("rank", rank).where(F.col("rank") <= several)
     first = stage(first.select("region", F.col("cls").alias("top")), "leaders")
     return within.join(first, "region").where("cls != top").select(*_pair(F.col("cls"), F.col("top"))).distinct()
