@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from recollect import session
-from recollect.session import staging_root
+from recollect.session import drop_staged as drop, staging_root
 
 __all__ = ["arrow_map", "doc_bytes", "drop", "read", "stage", "staging_root"]
 #: Shuffle files of a query go when it has ended, instead of when the driver happens to collect its garbage.
@@ -24,15 +24,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
-def drop(*staged: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more."""
-    for df in staged:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
