@@ -37,7 +37,7 @@ def _matches(kind: str, pattern: str, least: int, group: int = 0) -> str:
 #: Windows of candidates are rated one by one, without the increments.
 ORACLE["op4_secret_scan"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-base AS ({_matches("assign", _ASSIGN, 6, 2)} UNION ALL {_matches("access", "AKIA[A-Z0-9]+", 20)} UNION ALL {_matches("hex", "[0-9a-f]+", 24)}),
+base AS ({_matches("assign", _ASSIGN, 6, 2)} UNION ALL {_matches("access", "AKIA[A-Z0-9]+", 20)} UNION ALL {_matches("hex", "[0-9a-f]{24,}", 24)}),
 cand AS (SELECT *, row_number() OVER () AS c, regexp_matches(m, '^[0-9A-Fa-f]+$') AS hex FROM ({_matches("", "[A-Za-z0-9+/=_-]{20,}", 0)})
     WHERE NOT regexp_matches(m, '^[A-Za-z]+$') AND NOT regexp_matches(m, '^[0-9]+$') AND len(list_distinct(string_split(m, ''))) > 1
     AND NOT regexp_matches(m, '^[A-Za-z]+([-_/+=]+[A-Za-z]*)+$') AND NOT regexp_matches(lower(m), 'example|placeholder|changeme')),
@@ -70,7 +70,9 @@ FROM bits
 #: Every window of 400 bytes by its digest; windows that occur twice cover what goes.
 ORACLE["op1_suffix_dedup"] = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 399 AS BIGINT))) AS i FROM d WHERE length(h) >= 800)),
+parts AS (SELECT doc_id, place, substr(h, 2 * place + 1, 1198) AS x FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 399 AS BIGINT), 200)) AS place FROM d WHERE length(h) >= 800)),
+w AS (SELECT doc_id, place + unnest(i) AS i, unnest(list_transform(i, lambda p: md5(substr(x, 2 * p + 1, 800)))) AS k
+      FROM (SELECT doc_id, place, x, range(0, CAST(length(x) // 2 - 399 AS BIGINT)) AS i FROM parts)),
 hit AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
 steps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit),
 runs AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM steps) GROUP BY doc_id, g),
