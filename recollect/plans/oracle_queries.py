@@ -294,10 +294,10 @@ ORACLE["hit_summary"] = over_top(
         FROM top JOIN entries e USING (seq) JOIN dated d ON e.date_iso IS NOT DISTINCT FROM d.date_iso""", dated=DATES)
 CONTEXT = f"string_agg({BLOCK}, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY place)"
 ORACLE["prompt_context"] = over_top(f"SELECT {CONTEXT} AS context FROM top JOIN entries USING (seq)")
-from recollect.operators.present import POLICY, STRICT_RULES  # noqa: E402
+from recollect.operators.present import AGGREGATE_RULES, POLICY, STRICT_RULES  # noqa: E402
 
-ORACLE["prompt_text"] = over_top(
-    f"""SELECT {q(POLICY + STRICT_RULES)} || {NL} || 'Records:' || {NL} || {CONTEXT} || {NL} || {NL}
+for _name, _rules in (("prompt_text", STRICT_RULES), ("prompt_text_aggregate", AGGREGATE_RULES)):
+    ORACLE[_name] = over_top(f"""SELECT {q(POLICY + _rules)} || {NL} || 'Records:' || {NL} || {CONTEXT} || {NL} || {NL}
           || 'Question: Capital One charge NYTimes posted' || {NL} AS prompt FROM top JOIN entries USING (seq)""")
 
 # ===== cache and maintenance ==========================================================

@@ -489,6 +489,12 @@ def prompt_text(spark, d) -> DataFrame:
     return present.prompt(retrieve.retrieve(corpus(spark, d), CHARGES), CHARGES)
 
 
+@query
+def prompt_text_aggregate(spark, d) -> DataFrame:
+    """With the rules for questions over many charges."""
+    return present.prompt(retrieve.retrieve(corpus(spark, d), CHARGES), CHARGES, aggregate=True)
+
+
 # ===== cache and maintenance ======================================================================
 
 @query
