@@ -7,7 +7,7 @@ least ``least`` that passes the base rules is kept: the verdict depends on count
 
 Counting explodes words in one pass with partial sums, so at most ``buckets`` rows leave a task. The table of ratios has
 ``buckets`` entries and reaches the scoring pass as one array from a scalar subquery; scoring is a narrow pass without
-a shuffle. Trusted documents are found by a join on the id.
+a shuffle. The ids of trusted documents, bounded by a parameter, are broadcast, so that texts never move.
 
 Defined cases: a null text has no words and fails; rows with equal ids are judged each by itself, and all are trusted if
 one label says so; a null label or an empty table of labels trusts nothing, and then every score is 0; a text with one
@@ -35,7 +35,7 @@ def _places(n: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of three words that occur twice or more."""
     def covered(prints: Column) -> Column:
-        placed = F.array_sort(F.transform(prints, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(prints, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = let(placed, lambda s: F.filter(F.transform(s, lambda x, j: F.when(
             F.coalesce(x["h"] == F.get(s, j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(s, j + 1)["h"], F.lit(False)), x["i"])), lambda i: i.isNotNull()))
         return let(F.sort_array(twice), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), x - F.coalesce(F.get(p, j - 1), F.lit(-3)))), F.lit(0), lambda a, b: a + b))
@@ -50,31 +50,32 @@ def repeated_words(words: Column) -> Column:
 def base(text: Column, words: Column) -> dict[str, Column]:
     plain = F.coalesce(text.cast("string"), F.lit(""))
     removed = lambda chars: F.length(plain) - F.length(F.translate(plain, chars, ""))
-    lines = F.filter(F.split(plain, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(plain, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     return {"n_words": F.size(words), "word_chars": F.length(plain) - removed(" \t\n\x0b\f\r"), "n_symbols": removed("#*$%&|<>"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_repeat_words": repeated_words(words)}
 
 
-def ngram_buckets(words: Column, buckets: int) -> Column:
-    """Buckets of the lower-cased words and of the pairs of adjacent ones."""
+def ngram_buckets(text: Column, buckets: int) -> Column:
+    """Buckets of the words of the lower-cased text and of the pairs of adjacent ones."""
     single = lambda w: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
     pair = lambda w: F.transform(_places(F.size(w) - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(buckets)).cast("int"))
-    return let(F.transform(words, F.lower), lambda w: F.concat(single(w), pair(w)))
+    return let(words_of(F.lower(text)), lambda w: F.concat(single(w), pair(w)))
 
 
 def counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n) over all n-grams of the texts."""
-    return texts.select(F.explode(ngram_buckets(words_of(F.col("text")), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, r, t): n-grams of all texts and of the trusted ones among them."""
+    grams = texts.select(F.col("trusted").cast("long").alias("trusted"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_col: str, smooth: float) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_col: str, smooth: float, trusted_rows: int) -> DataFrame:
     """One row with the array of log ratios by bucket; smoothing adds ``smooth`` of the raw shares to the target's counts."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    raw, target = counts(texts, buckets), counts(texts.join(trusted, "doc_id", "left_semi"), buckets)
+    named = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    trusted = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
+    marked = texts.join(F.broadcast(trusted.withColumn("_trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
     spare = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("r"), F.lit(0).alias("t"))
-    both = (raw.select("bucket", F.col("n").alias("r"), F.lit(0).alias("t")).unionByName(target.select("bucket", F.lit(0).alias("r"), F.col("n").alias("t")))
-            .unionByName(spare).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t")))
+    both = counts(marked, buckets).unionByName(spare).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     listed = both.agg(F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("x"), F.sum("r").alias("rs"), F.sum("t").alias("ts"))
     share = lambda x: (x["r"] + 1) / (F.col("rs") + buckets)
     grown = smooth * buckets
@@ -83,12 +84,15 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_c
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST,
-          buckets: int = BUCKETS, smooth: float = 1.0) -> DataFrame:
-    """doc_id, the base rules' figures, base_failed, score and kept of every row."""
-    table = ratios(docs, labels, buckets, id_col, text_col, smooth).scalar()
+          buckets: int = BUCKETS, smooth: float = 1.0, trusted_rows: int = 200_000) -> DataFrame:
+    """doc_id, the base rules' figures, base_failed, score and kept of every row.
+
+    The target is fitted on at most ``trusted_rows`` labelled documents, chosen by a hash of their ids.
+    """
+    table = ratios(docs, labels, buckets, id_col, text_col, smooth, trusted_rows).scalar()
     score = lambda b: F.aggregate(b["b"], F.lit(0.0), lambda s, i: s + F.get(b["r"], i)) / F.size(b["b"])
     figures = let(words_of(F.col(text_col)), lambda w: F.struct(*[c.cast("bigint").alias(n) for n, c in base(F.col(text_col), w).items()],
-                                                                 ngram_buckets(w, buckets).alias("grams")))
+                                                                 ngram_buckets(F.col(text_col), buckets).alias("grams")))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), figures.alias("x"))
     rows = rows.select("doc_id", "x", table.alias("ratios"))
     rated = rows.select("doc_id", "x", let(F.struct(F.col("x.grams").alias("b"), F.col("ratios").alias("r")), lambda b: F.when(F.size(b["b"]) > 0, score(b))).alias("score"))
