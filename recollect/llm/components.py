@@ -7,7 +7,7 @@ Spark can split the join of a vertex with very many neighbours. The number of ro
 
 from pyspark.sql import DataFrame, functions as F
 
-from recollect.llm.frames import stage
+from recollect.llm.frames import stage_narrow
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -21,15 +21,15 @@ def _settled(edges: DataFrame) -> bool:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, root): every vertex that has a link, with the least vertex reachable from it."""
     pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = stage(pairs.distinct(), "links")
+    edges = stage_narrow(pairs.distinct(), "links")
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = stage(least, "least-neighbours")
+        least = stage_narrow(least, "least-neighbours")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stage(large, "large-star")
-        low = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
+        large = stage_narrow(large, "large-star")
+        low = stage_narrow(large.groupBy("u").agg(F.min("v").alias("m")), "least-neighbours")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        edges = stage_narrow(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     roots = edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("vertex"), "root").distinct())

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from recollect.llm.components import components
-from recollect.llm.frames import arrow_map, doc_bytes, stage
+from recollect.llm.frames import arrow_map, doc_bytes, stage, stage_narrow
 from recollect.llm.hashing import LOWER, NOT_SPACE, mix, windows, word_bounds, word_hashes
 
 TREES, DEPTH, DEEPEST = 20, 4, 8
@@ -87,7 +87,7 @@ def _region(depth: int) -> F.Column:
 def alive(classes: DataFrame) -> DataFrame:
     """The classes that share a region of least depth with another one, with their signatures."""
     rows = orders(classes).select(_region(DEPTH).alias("region"), "cls")
-    shared = stage(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "regions-of-several")
+    shared = stage_narrow(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"), "regions-of-several")
     return classes.join(rows.join(shared, "region", "left_semi").select("cls").distinct(), "cls", "left_semi")
 
 
@@ -102,14 +102,14 @@ def leaders(forest: DataFrame, several: int = 4) -> DataFrame:
     than they lie in each other's.
     """
     levels = F.array(*[_region(k) for k in range(DEPTH, DEEPEST + 1, 2)])
-    rows = stage(forest.select("cls", F.explode(levels).alias("region")), "regions")
-    counts = stage(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
-    within = stage(rows.join(counts, "region"), "shared-regions")
+    rows = stage_narrow(forest.select("cls", F.explode(levels).alias("region")), "regions")
+    counts = stage_narrow(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
+    within = stage_narrow(rows.join(counts, "region"), "shared-regions")
     density = within.groupBy("cls").agg(F.sum("n").alias("density"))
     # many classes of a large region tie; each region draws its own of them, so that a class meets most of the densest
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("density"), F.xxhash64("region", "cls"), "cls"))
     first = within.join(density, "cls").withColumn("rank", rank).where(F.col("rank") <= several)
-    first = stage(first.select("region", F.col("cls").alias("top")), "leaders")
+    first = stage_narrow(first.select("region", F.col("cls").alias("top")), "leaders")
     return within.join(first, "region").where("cls != top").select(*_pair(F.col("cls"), F.col("top"))).distinct()
 
 
@@ -146,7 +146,7 @@ def neighbours(forest: DataFrame, reach: int = 3) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, b, part, tree, key, cls), kinds)],
                                           names=["a", "b", "part", "tree", "key", "cls"])
 
-    found = stage(ordered.mapInArrow(run, "a binary, b binary, part int, tree int, key binary, cls binary"), "neighbours")
+    found = stage_narrow(ordered.mapInArrow(run, "a binary, b binary, part int, tree int, key binary, cls binary"), "neighbours")
     border = found.where("part IS NOT NULL").select("tree", "key", "cls").distinct()
     across = border.groupBy("tree", F.substring("key", 1, WIDTH * DEPTH).alias("k")).agg(F.sort_array(F.collect_list(F.struct("key", "cls"))).alias("x"))
     near = lambda k: across.where(F.size("x") > k).select(F.explode(F.arrays_zip(F.slice("x", 1, F.size("x") - k).alias("p"), F.slice("x", 1 + k, F.size("x") - k).alias("q"))).alias("z")).select(*_pair(F.col("z.p.cls"), F.col("z.q.cls")))
@@ -221,7 +221,7 @@ def links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     ends = likely.select(F.col("a").alias("cls"), "same", "a", "b").unionByName(likely.select(F.col("b").alias("cls"), "same", "a", "b"))
     nearest = ends.groupBy("cls").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    first = stage(confirm(nearest, sets, percent), "first-links")
+    first = stage_narrow(confirm(nearest, sets, percent), "first-links")
     roots = components(first)
     side = lambda c: roots.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}"))
     apart = likely.join(side("a"), "a", "left").join(side("b"), "b", "left").where(
@@ -236,12 +236,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     living = stage(alive(classes), "alive")
     forest = orders(living)
     candidates = leaders(forest).unionByName(neighbours(forest)).distinct()
-    likely = stage(plausible(candidates, living, percent), "candidates")
+    likely = stage_narrow(plausible(candidates, living, percent), "candidates")
     sets = stage(full_sets(likely, docs, living, words, id_col, text_col), "shingle-sets")
     roots = components(links(likely, sets, percent))
     linked = classes.select("cls", "low").join(roots, F.col("cls") == F.col("vertex"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("least"))
-    group = stage(classes.select("cls", "low").join(linked.select("cls", "root"), "cls", "left").join(lowest, "root", "left")
+    group = stage_narrow(classes.select("cls", "low").join(linked.select("cls", "root"), "cls", "left").join(lowest, "root", "left")
                   .select("cls", F.coalesce("least", "low").alias("least")), "groups")
     out = signed.select("doc_id", "n", "cls").join(group, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
