@@ -5,9 +5,12 @@
 2. A tree of the forest orders the classes by a rotation of the signature. Classes that share ``depth`` values in no
    tree with any other leave. In every tree, a class is held against its neighbours in sorted order, whose common prefix
    is the longest, and, region by region, against the region's densest classes; a region is taken at its least depth
-   and again deeper wherever more than one class goes on sharing values.
+   and again deeper wherever more than one class goes on sharing values. In a region of at most ``SMALL`` classes, every
+   class is held against every other.
 3. Candidates whose signatures can still agree are confirmed on the full sets, the nearest ones first, and links become
    components.
+4. A larger region whose classes aren't all in one component by then is finished by a join on full sets that misses no
+   pair of its classes: a prefix-filter join on the rarest shingles.
 
 Two sets with a similarity of 0.85 miss each other in all 20 trees at depth 4 with a probability of 4e-7.
 
@@ -31,6 +34,12 @@ TREES, DEPTH, DEEPEST = 20, 4, 8
 HASHES = TREES * DEPTH
 #: Bytes of a signature value.
 WIDTH = 4
+#: Classes of a region up to which all of its pairs are candidates; larger ones are finished by ``crowded_links``.
+SMALL = 8
+#: Buckets, as bits, in which shingles are counted to tell rare ones from frequent ones.
+RARITY_BITS = 20
+#: Rows of one shingle from which on its join is dealt over several tasks.
+HOT_ROWS = 1024
 _SEEDS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _FACTORS, _OFFSETS = _SEEDS[:HASHES, None] | np.uint64(1), _SEEDS[HASHES:, None]
 
@@ -95,20 +104,24 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def leaders(forest: DataFrame, several: int = 4) -> DataFrame:
-    """(a, b): each class with the ``several`` densest classes of every region it lies in, at several depths.
+def shared_regions(forest: DataFrame) -> DataFrame:
+    """(region, cls, least, n): the regions of several classes at several depths; ``least``: at the least depth, ``n``: how many classes."""
+    levels = F.array(*[F.struct(_region(k).alias("region"), F.lit(k == DEPTH).alias("least")) for k in range(DEPTH, DEEPEST + 1, 2)])
+    rows = stage_narrow(forest.select("cls", F.explode(levels).alias("x")).select("cls", "x.region", "x.least"), "regions")
+    counts = stage_narrow(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
+    return stage_narrow(rows.join(counts, "region"), "shared-regions")
+
+
+def leaders(within: DataFrame, several: int = 4) -> DataFrame:
+    """(a, b): each class with the ``several`` densest classes of every region it lies in, and with all of a small region.
 
     A class is dense if its regions are large: the text that others were derived from lies in more of their regions
     than they lie in each other's.
     """
-    levels = F.array(*[_region(k) for k in range(DEPTH, DEEPEST + 1, 2)])
-    rows = stage_narrow(forest.select("cls", F.explode(levels).alias("region")), "regions")
-    counts = stage_narrow(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "region-sizes")
-    within = stage_narrow(rows.join(counts, "region"), "shared-regions")
     density = within.groupBy("cls").agg(F.sum("n").alias("density"))
     # many classes of a large region tie; each region draws its own of them, so that a class meets most of the densest
     rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("density"), F.xxhash64("region", "cls"), "cls"))
-    first = within.join(density, "cls").withColumn("rank", rank).where(F.col("rank") <= several)
+    first = within.join(density, "cls").withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("n") <= SMALL, SMALL).otherwise(several))
     first = stage_narrow(first.select("region", F.col("cls").alias("top")), "leaders")
     return within.join(first, "region").where("cls != top").select(*_pair(F.col("cls"), F.col("top"))).distinct()
 
@@ -181,9 +194,10 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return arrow_map(joined, step, "a binary, b binary, same int")
 
 
-def full_sets(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, items): the shingle sets of the classes in the pairs. ``members``: (cls, low), the smallest id of each class."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def full_sets(pairs: DataFrame, crowd: DataFrame, docs: DataFrame, members: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, items): the shingle sets of the classes in the pairs and the crowd. ``members``: (cls, low), the smallest id of each class."""
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    wanted = ends.unionByName(crowd.select("cls")).distinct()
     ids = members.join(wanted, "cls", "left_semi").select(F.col("low").alias("doc_id")).distinct()
     # ids grow with the corpus: one plan at every size, instead of a broadcast while they happen to be few
     texts = doc_bytes(docs, id_col, text_col).join(ids.hint("merge"), "doc_id", "left_semi")
@@ -229,16 +243,110 @@ def links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return first.unionByName(confirm(apart, sets, percent))
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of each bucket occur. It only orders shingles, so collisions cost time and change no result."""
+    def count(batch: pa.RecordBatch) -> dict:
+        values = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)
+        buckets, n = np.unique(values >> np.uint64(64 - RARITY_BITS), return_counts=True)
+        return {"bucket": buckets.astype(np.int64), "n": n}
+
+    table = arrow_map(sets.select("items"), count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, dtype=np.int64)
+    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, cls, root, n, at, short): the rarest shingles of each set, as many as one of them must be shared by two similar sets.
+
+    A partner shares at least ``percent`` of a set's n shingles, so one of the first n - that + 1; of the smaller of two
+    sets, with at least 2 percent / (100 + percent) n in common, fewer do (``short``). ``at`` is the place in the order.
+    """
+    often = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def step(batch: pa.RecordBatch) -> dict:
+        tokens, of, at, short, sizes = [], [], [], [], []
+        for k, data in enumerate(batch.column("items").to_pylist()):
+            values = np.frombuffer(data, dtype=np.uint64)
+            n = len(values)
+            long = n - -(-percent * n // 100) + 1
+            order = np.lexsort((values, often.value[values >> np.uint64(64 - RARITY_BITS)]))[:long]
+            tokens.append(values[order].view(np.int64))
+            of.append(np.full(len(order), k))
+            at.append(np.arange(len(order)))
+            short.append(np.arange(len(order)) < n - -(-2 * percent * n // (100 + percent)) + 1)
+            sizes.append(np.full(len(order), n))
+        of = pa.array(np.concatenate(of))
+        return {"token": np.concatenate(tokens), "cls": batch.column("cls").take(of), "root": batch.column("root").take(of),
+                "n": np.concatenate(sizes), "at": np.concatenate(at), "short": np.concatenate(short)}
+
+    return arrow_map(sets.select("cls", "root", "items"), step, "token bigint, cls binary, root binary, n bigint, at bigint, short boolean", rows=2000)
+
+
+def sharing(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes of different roots that share a shingle of their prefixes at places which allow the similarity.
+
+    Rows of a frequent shingle are dealt by their class, and their partners go to every part.
+    """
+    several = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+    parts = F.ceil(F.col("rows") / HOT_ROWS).cast("int")
+    shared = stage(rows.join(stage_narrow(several.select("token", parts.alias("parts")), "shared-shingles"), "token"), "shared-prefixes")
+    side = lambda df, c: df.select("token", "salt", *[F.col(x).alias(f"{x}_{c}") for x in ("cls", "root", "n", "at")])
+    small = side(shared.where("short").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "p")
+    large = side(shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "q")
+    common = F.least(F.col("n_p") - F.col("at_p"), F.col("n_q") - F.col("at_q"))  # at most, as all before differ
+    fits = (F.col("root_p") != F.col("root_q")) & ((F.col("n_p") < F.col("n_q")) | ((F.col("n_p") == F.col("n_q")) & (F.col("cls_p") < F.col("cls_q")))) \
+        & (100 * F.col("n_p") >= percent * F.col("n_q")) & ((100 + percent) * common >= percent * (F.col("n_p") + F.col("n_q")))
+    on = (small["token"] == large["token"]) & (small["salt"] == large["salt"]) & fits
+    return small.join(large, on).select(*_pair(F.col("cls_p"), F.col("cls_q"))).distinct()
+
+
+def crowded_links(crowd: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """The links between components inside large regions; none if every large region lies in one component.
+
+    ``crowd``: (region, cls) of regions with more than ``SMALL`` classes. Every pair of their classes that isn't connected
+    yet is found if its sets reach the similarity.
+    """
+    rooted = crowd.join(roots, F.col("cls") == F.col("vertex"), "left").select("region", "cls", F.coalesce("root", "cls").alias("root"))
+    rooted = stage_narrow(rooted, "crowd-roots")
+    divided = rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("region")
+    members = stage_narrow(rooted.join(divided, "region", "left_semi").select("cls", "root").distinct(), "divided-crowd")
+    if members.isEmpty():
+        return None
+    rows = stage(prefixes(stage(sets.join(members, "cls"), "crowd-sets"), percent), "prefixes")
+    likely = stage_narrow(plausible(sharing(rows, percent), classes, percent), "crowd-candidates")
+    return confirm(likely, sets, percent)
+
+
+def grouped(found: DataFrame, crowd: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(vertex, root) over the found links and those that large regions add to them."""
+    roots = components(found)
+    if crowd.isEmpty():
+        return roots
+    roots = stage_narrow(roots, "roots")
+    more = crowded_links(crowd, roots, classes, sets, percent)
+    if more is None:
+        return roots
+    side = lambda c: roots.select(F.col("vertex").alias(c), F.col("root").alias(f"root_{c}"))
+    over = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    upper = stage_narrow(components(over), "crowd-roots").select(F.col("vertex").alias("root"), F.col("root").alias("top"))
+    # a root is a vertex of its own component, or a class without links so far
+    alone = upper.select(F.col("root").alias("vertex"), F.col("top").alias("root")).join(roots.select("vertex"), "vertex", "left_anti")
+    return roots.join(upper, "root", "left").select("vertex", F.coalesce("top", "root").alias("root")).unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: the smallest id of each group of near-duplicates stays."""
     signed = stage(signatures(docs, words, id_col, text_col), "signatures")
     classes = stage(signed.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     living = stage(alive(classes), "alive")
     forest = orders(living)
-    candidates = leaders(forest).unionByName(neighbours(forest)).distinct()
+    within = shared_regions(forest)
+    candidates = leaders(within).unionByName(neighbours(forest)).distinct()
     likely = stage_narrow(plausible(candidates, living, percent), "candidates")
-    sets = stage(full_sets(likely, docs, living, words, id_col, text_col), "shingle-sets")
-    roots = components(links(likely, sets, percent))
+    crowd = stage_narrow(within.where(F.col("least") & (F.col("n") > SMALL)).select("region", "cls"), "crowd")
+    sets = stage(full_sets(likely, crowd, docs, living, words, id_col, text_col), "shingle-sets")
+    roots = grouped(links(likely, sets, percent), crowd, living, sets, percent)
     linked = classes.select("cls", "low").join(roots, F.col("cls") == F.col("vertex"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("least"))
     group = stage_narrow(classes.select("cls", "low").join(linked.select("cls", "root"), "cls", "left").join(lowest, "root", "left")

@@ -108,6 +108,18 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr) == brute_near(rows, 3, 85)
 
 
+def test_links_of_one_template_are_all_found(spark):
+    """Texts of one template are below the threshold, so that regions are large; true pairs hide among them."""
+    base, rows = prose(60, 200), []
+    for i in range(500):
+        own = edited(base, 1000 + i, 4)
+        rows += [(2 * i, own), (2 * i + 1, edited(own, 5000 + i, 5))]
+    got = neardup.near_duplicates(documents(spark, rows), words=3, percent=85)
+    want = brute_near(rows, 3, 85)
+    assert 200 < sum(not r[3] for r in want) < 800
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=repr) == want
+
+
 def test_deduplicate_keeps_columns_and_smallest_ids(spark, empty):
     base = prose(8, 100)
     docs = documents(spark, [(3, base), (1, base + " tail"), (2, prose(9, 100)), (4, None), (5, None)])
