@@ -7,15 +7,19 @@ least ``least`` that passes the base rules is kept: the verdict depends on count
 
 Counting explodes words in one pass with partial sums, so at most ``buckets`` rows leave a task. The table of ratios has
 ``buckets`` entries and reaches the scoring pass as one array from a scalar subquery; scoring is a narrow pass without
-a shuffle. The ids of trusted documents, bounded by a parameter, are broadcast, so that texts never move.
+a shuffle. The ids of trusted documents are broadcast, so that texts never move; more of them than a parameter are dealt
+by a hash into several passes, and each pass counts the documents whose ids have that hash, so every document counts once.
 
 Defined cases: a null text has no words and fails; rows with equal ids are judged each by itself, and all are trusted if
 one label says so; a null label or an empty table of labels trusts nothing, and then every score is 0; a text with one
 word has one n-gram; other columns are ignored.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recollect.llm.frames import stage_narrow
 from recollect.llm.secret_scan import let
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,10 +76,20 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_c
     """One row with the array of log ratios by bucket; smoothing adds ``smooth`` of the raw shares to the target's counts."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     named = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    trusted = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    marked = texts.join(F.broadcast(trusted.withColumn("_trusted", F.lit(True))), "doc_id", "left").select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted"))
+    passes = max(1, -(-named.count() // trusted_rows))
+
+    def counted(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+        marked = texts.join(F.broadcast(trusted.withColumn("_trusted", F.lit(True))), "doc_id", "left")
+        return counts(marked.select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted")), buckets)
+
+    if passes == 1:
+        found = counted(texts, named)
+    else:  # one after the other, so that one pass's ids are held at a time
+        mine = lambda k: F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k
+        tables = [stage_narrow(counted(texts.where(mine(k)), named.where(mine(k))), "quality-counts") for k in range(passes)]
+        found = reduce(DataFrame.unionByName, tables)
     spare = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("r"), F.lit(0).alias("t"))
-    both = counts(marked, buckets).unionByName(spare).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    both = found.unionByName(spare).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     listed = both.agg(F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("x"), F.sum("r").alias("rs"), F.sum("t").alias("ts"))
     share = lambda x: (x["r"] + 1) / (F.col("rs") + buckets)
     grown = smooth * buckets
@@ -87,7 +101,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           buckets: int = BUCKETS, smooth: float = 1.0, trusted_rows: int = 200_000) -> DataFrame:
     """doc_id, the base rules' figures, base_failed, score and kept of every row.
 
-    The target is fitted on at most ``trusted_rows`` labelled documents, chosen by a hash of their ids.
+    The target is fitted on all labelled documents; a pass over the texts broadcasts the ids of about ``trusted_rows`` of them.
     """
     table = ratios(docs, labels, buckets, id_col, text_col, smooth, trusted_rows).scalar()
     score = lambda b: F.aggregate(b["b"], F.lit(0.0), lambda s, i: s + F.get(b["r"], i)) / F.size(b["b"])

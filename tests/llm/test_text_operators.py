@@ -360,3 +360,10 @@ def test_quality_matches_brute_force(spark, empty):
         assert r["kept"] == (not failed and r["score"] >= quality.LEAST)
     assert quality.judge(empty, labels).collect() == []
     assert all(abs(r["score"]) < 1e-12 for r in quality.judge(documents(spark, good), labels.where("false")).collect())
+
+
+def test_all_trusted_documents_count_at_any_size_of_broadcast(spark):
+    rows = [(i, prose(i, 60)) for i in range(40)] + [(None, prose(40, 60)), (3, prose(41, 60)), (41, None)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)] + [(3, 1), (5, 0), (None, 1)], "doc_id bigint, quality int")
+    judged = lambda **options: [(r["doc_id"], round(r["score"] or 0, 12), r["kept"]) for r in quality.judge(documents(spark, rows), labels, **options).collect()]
+    assert judged(trusted_rows=4) == judged()
