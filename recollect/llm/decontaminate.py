@@ -4,8 +4,8 @@ The benchmark is dealt in blocks of at most ``block_words`` words, so each broad
 block is held against every document. One block (the usual case) is one narrow pass without a shuffle.
 
 Defined cases: a null text or one without words has no hits; items without words are no items; items of fewer than
-``n`` words are one window of all their words; equal items all count; documents with equal ids are separate rows while
-there is one block and share their findings otherwise; an empty benchmark hits nothing; other columns are ignored.
+``n`` words are one window of all their words; equal items all count; documents with equal or null ids are separate rows,
+each judged by its own text, over any number of blocks; an empty benchmark hits nothing; other columns are ignored.
 """
 
 from collections.abc import Iterator
@@ -22,6 +22,8 @@ WORD = byte_class(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97,
 BITS = 20
 
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+#: One block's findings: a row's key, and its hit runs by words (first, behind the last) and by bytes.
+FINDINGS = "doc_id bigint, digest binary, n_words bigint, runs array<array<bigint>>, items array<string>"
 
 
 def words_of(data: bytes | None):
@@ -55,8 +57,8 @@ class NgramSet:
             bits[keys >> np.uint64(64 - BITS)] = True
             self.by_width[width] = keys, bits
 
-    def scan(self, data: bytes | None):
-        """Words, hit words, byte spans of hit runs, items with occurring windows."""
+    def runs(self, data: bytes | None):
+        """Words, hit runs as (first word, word behind the last, first byte, byte behind the last), items with occurring windows."""
         low, starts, ends, hashes = words_of(data)
         hit = np.zeros(len(starts) + 1, dtype=np.int64)
         items: set[str] = set()
@@ -70,9 +72,14 @@ class NgramSet:
                     items |= of
                     hit[i] += 1
                     hit[i + width] -= 1
-        covered = np.cumsum(hit[:-1]) > 0
-        first, last = word_bounds(covered)
-        return len(starts), int(covered.sum()), starts[first], ends[last - 1] if len(last) else last, sorted(items)
+        first, last = word_bounds(np.cumsum(hit[:-1]) > 0)
+        runs = np.stack([first, last, starts[first], ends[last - 1] if len(last) else last], axis=1).astype(np.int64)
+        return len(starts), runs, sorted(items)
+
+    def scan(self, data: bytes | None):
+        """Words, hit words, byte spans of hit runs, items with occurring windows."""
+        words, runs, items = self.runs(data)
+        return words, int((runs[:, 1] - runs[:, 0]).sum()), runs[:, 2], runs[:, 3], items
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
@@ -96,53 +103,65 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int)
              .select("item", "data").collect()] for k in keys]
 
 
+def _digest(text_col: str) -> F.Column:
+    """With the id, the key of a row: rows that share both have the same findings."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
     """Per document: words, hit words, byte spans of the hit runs, and the items whose windows occur."""
-    spark = docs.sparkSession
-    data = doc_bytes(docs, id_col, text_col)
-    passes = []
-    for block in blocks(benchmark, item_col, item_text_col, block_words) or [[]]:
-        grams = spark.sparkContext.broadcast(NgramSet(block, n))
+    parts = blocks(benchmark, item_col, item_text_col, block_words) or [[]]
+    return (_one_block if len(parts) == 1 else _keyed)(docs, parts, n, id_col, text_col).select("doc_id", "n_words", "n_hit", "starts", "ends", "items")
 
-        def step(batch: pa.RecordBatch, grams=grams) -> dict:
-            rows = [grams.value.scan(x) for x in batch.column(1).to_pylist()]
-            words, hits, starts, ends, items = zip(*rows)
-            return {"doc_id": batch.column(0), "n_words": words, "n_hit": hits, "starts": [x.tolist() for x in starts],
-                    "ends": [x.tolist() for x in ends], "items": items}
-
-        passes.append(arrow_map(data, step, RESULT))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    return _merge(every, data)
-
-
-def _merge(every: DataFrame, data: DataFrame) -> DataFrame:
-    """One row per document from the passes over several blocks; the words of merged spans are counted again."""
-    lists = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"),
-                                        F.flatten(F.collect_list("ends")).alias("ends"),
-                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    joined = data.dropDuplicates(["doc_id"]).join(lists, "doc_id")
+
+def _one_block(docs: DataFrame, parts: list, n: int, id_col: str, text_col: str) -> DataFrame:
+    grams = docs.sparkSession.sparkContext.broadcast(NgramSet(parts[0], n))
 
     def step(batch: pa.RecordBatch) -> dict:
-        out = {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "items": batch.column("items"),
-               "n_hit": [], "starts": [], "ends": []}
-        for text, a, b in zip(*(batch.column(c).to_pylist() for c in ("data", "starts", "ends"))):
-            low, starts, ends, _ = words_of(text)
-            cover = np.zeros(len(low) + 1, dtype=np.int64)
-            np.add.at(cover, np.array(a, dtype=np.int64), 1)
-            np.add.at(cover, np.array(b, dtype=np.int64), -1)
-            hit = np.cumsum(cover)[starts] > 0
-            first, last = word_bounds(hit)
-            out["n_hit"].append(int(hit.sum()))
-            out["starts"].append(starts[first].tolist())
-            out["ends"].append(ends[last - 1].tolist() if len(last) else [])
+        rows = [grams.value.scan(x) for x in batch.column(1).to_pylist()]
+        words, hits, starts, ends, items = zip(*rows)
+        return {"doc_id": batch.column(0), "n_words": words, "n_hit": hits, "starts": [x.tolist() for x in starts],
+                "ends": [x.tolist() for x in ends], "items": items}
+
+    return arrow_map(doc_bytes(docs, id_col, text_col), step, RESULT)
+
+
+def _keyed(docs: DataFrame, parts: list, n: int, id_col: str, text_col: str) -> DataFrame:
+    """The findings with each row's key (doc_id, digest). Several blocks' findings are joined by it; texts don't move."""
+    data = doc_bytes(docs, id_col, text_col, _digest(text_col).alias("digest"))
+    passes = []
+    for block in parts:
+        grams = docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
+
+        def step(batch: pa.RecordBatch, grams=grams) -> dict:
+            words, runs, items = zip(*[grams.value.runs(x) for x in batch.column(1).to_pylist()])
+            return {"doc_id": batch.column(0), "digest": batch.column(2), "n_words": words, "runs": [x.tolist() for x in runs], "items": items}
+
+        passes.append(arrow_map(data, step, FINDINGS))
+    rows, more = passes[0], passes[1].where(F.size("runs") > 0) if len(passes) > 1 else passes[0].where("false")
+    for x in passes[2:]:
+        more = more.unionByName(x.where(F.size("runs") > 0))
+    more = more.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
+        F.flatten(F.collect_list("runs")).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"))
+    joined = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+
+    def merge(batch: pa.RecordBatch) -> dict:
+        out = {"doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_words": batch.column("n_words"), "n_hit": [], "starts": [], "ends": [], "items": []}
+        for a, b, p, q in zip(*(batch.column(c).to_pylist() for c in ("runs", "more_runs", "items", "more_items"))):
+            whole: list[list[int]] = []
+            for run in sorted(a + (b or [])):
+                if whole and run[0] <= whole[-1][1]:
+                    whole[-1][1], whole[-1][3] = max(whole[-1][1], run[1]), max(whole[-1][3], run[3])
+                else:
+                    whole.append(list(run))
+            out["n_hit"].append(sum(x[1] - x[0] for x in whole))
+            out["starts"].append([x[2] for x in whole])
+            out["ends"].append([x[3] for x in whole])
+            out["items"].append(sorted({*p, *(q or [])}))
         return out
 
-    return arrow_map(joined, step, RESULT)
+    return arrow_map(joined, merge, f"digest binary, {RESULT}")
 
 
 def contaminated(percent: int = 5) -> F.Column:
@@ -155,7 +174,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """The documents without contamination: contaminated ones go ("documents"), or hit spans are cut out ("spans").
 
     With one block of n-grams, documents are filtered as they are scanned, without a shuffle; with several, the findings
-    are joined by id. Columns stay as they are, and so do rows with a null id.
+    are joined by id and text. Columns stay as they are; every row is judged by its own text, whatever its id.
     """
     parts = blocks(benchmark, item_col, item_text_col, block_words)
     if remove == "documents" and len(parts) <= 1:
@@ -170,17 +189,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    found = find(docs, benchmark, n, id_col, text_col, item_col, item_text_col, block_words)
+    found = _keyed(docs, parts or [[]], n, id_col, text_col)
+    own = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (_digest(text_col) == F.col("_digest"))
+    key = [F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")]
     if remove == "documents":
-        bad = found.where(contaminated(percent)).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col(id_col).cast("bigint") == F.col("_bad"), "left_anti")
-    cut = found.where("n_hit > 0").groupBy(F.col("doc_id").alias("_cut")).agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
-    joined = docs.join(cut, F.col(id_col).cast("bigint") == F.col("_cut"), "left")
+        return docs.join(found.where(contaminated(percent)).select(*key).distinct(), own, "left_anti")
+    cut = found.where("n_hit > 0").groupBy(*key).agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends"))
+    joined = docs.join(cut, own, "left")
     data = F.col(text_col).cast("binary")
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0).cast("bigint")), "_ends").alias("a"), F.concat("_starts", F.array(F.octet_length(data).cast("bigint"))).alias("b"))
     kept = F.transform(bounds, lambda x: F.substring(data, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
     text = F.decode(F.aggregate(kept, F.lit(b""), lambda s, x: F.concat(s, x)), "utf-8")
-    return joined.withColumn(text_col, F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(text)).drop("_cut", "_starts", "_ends")
+    return joined.withColumn(text_col, F.when(F.col("_digest").isNull(), F.col(text_col)).otherwise(text)).drop("_id", "_digest", "_starts", "_ends")
 
 
 def digest(found: DataFrame) -> DataFrame:

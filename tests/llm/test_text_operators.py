@@ -241,6 +241,22 @@ def test_decontamination_matches_brute_force(spark, block_words):
         sorted((tuple(r) for r in got.where("doc_id IS NOT NULL").collect()), key=repr) == [x for x in brute_hits(docs, items) if x[0] is not None]
 
 
+def test_rows_are_judged_each_by_itself_over_one_block_and_several(spark):
+    docs, items = benchmark_cases()
+    docs += [(None, items[0][1]), (None, prose(15, 50)), (50, items[1][1]), (50, prose(16, 80)), (50, "short"), (50, "tail " + items[0][1])]
+    table, df = spark.createDataFrame(items, "item_id bigint, text string"), documents(spark, docs)
+    spans = []
+    for options in ({}, {"block_words": 20}):
+        found = decontaminate.find(df, table, **options)
+        assert sorted(map(tuple, decontaminate.digest(found).collect()), key=repr) == brute_hits(docs, items)
+        bad = {(i, t) for (i, t) in docs if brute_hits([(i, t)], items)[0][5]}
+        kept = decontaminate.decontaminate(df, table, **options).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted((d for d in docs if d not in bad), key=repr)
+        cut = decontaminate.decontaminate(df, table, remove="spans", **options).collect()
+        spans.append((sorted(map(tuple, found.collect()), key=repr), sorted(map(tuple, cut), key=repr)))
+    assert spans[0] == spans[1] and len(spans[0][1]) == len(docs)
+
+
 def test_decontaminate_removes_documents_or_spans(spark, empty):
     docs, items = benchmark_cases()
     table = spark.createDataFrame(items, "item_id bigint, text string")
