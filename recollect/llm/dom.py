@@ -1,11 +1,14 @@
-"""A small HTML reader: one regular expression cuts tags, a stack builds the tree, and each text run knows its node."""
+"""A small HTML reader: one regular expression cuts tags, a stack builds the tree, and each text run knows its node.
+
+Only comments and the content of script and style are left out; all other elements, as svg, math, object, noscript,
+template and iframe, are ordinary nodes, and ``/>`` ends an element at once.
+"""
 
 import re
 from html import unescape
 
 #: Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object".split())
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 header hr html head li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul""".split())
 #: An opening of the second kind ends an open element of the first kind, up to the nearest of the third kind.
@@ -13,7 +16,7 @@ CLOSES_P = BLOCK - {"html", "head", "body", "title", "option", "caption", "tbody
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 P_LIMITS = frozenset("article aside blockquote body button caption div fieldset footer form header html main nav object section table td th".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|textarea|title)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</\1\s*[^>]*>|\Z)"
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</\1\s*[^>]*>|\Z)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")

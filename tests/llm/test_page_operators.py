@@ -90,6 +90,15 @@ def test_article_text_is_found_and_the_rest_left_out(spark):
     assert {r["page_id"]: r["text"] for r in extraction.extract(df, untrained).collect()}[102] == "unclosed bold both"
 
 
+def test_only_scripts_and_styles_are_left_out():
+    every = lambda html: (lambda t: t.text([True] * len(t.tags)))(Tree(html))
+    assert every('<article><svg class="i"/><p>one</p><math/><p>two</p></article>') == "one\ntwo"
+    assert every("<article><p>a <math><mi>x</mi></math> b</p><svg><path d='M0'/><text>label</text></svg><p>c</p></article>") == "a x b\nlabel\nc"
+    assert every("<article><object data=x><p>fallback</p></object><noscript><p>still</p></noscript><p>on</p>") == "fallback\nstill\non"
+    assert every("<template><p>t</p></template><iframe src=x>f</iframe><p>p</p><svg>open<p>end</p>") == "t\nf\np\nopen\nend"
+    assert every("<p>a</p><script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>c</p> --><p>d</p>") == "a\nd"
+
+
 def test_given_pages_match_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     texts = {r["page_id"]: r["text"] for r in extraction.extract(df, extraction.train(df)).collect()}
