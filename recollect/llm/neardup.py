@@ -9,8 +9,8 @@
    class is held against every other.
 3. Candidates whose signatures can still agree are confirmed on the full sets, the nearest ones first, and links become
    components.
-4. A larger region whose classes aren't all in one component by then is finished by a join on full sets that misses no
-   pair of its classes: a prefix-filter join on the rarest shingles.
+4. A larger region whose classes aren't all in one component by then is finished by a prefix-filter join on the
+   rarest shingles of full sets. Its pairs pass the test on signatures as well, as all candidates do.
 
 Two sets with a similarity of 0.85 miss each other in all 20 trees at depth 4 with a probability of 4e-7.
 
