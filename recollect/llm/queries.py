@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and the SQL that checks them where SQL can express it."""
+"""The operators as queries over whole tables, and the SQL that checks them where SQL can express it."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +73,9 @@ def op9_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import extraction as m
     pages = read(spark, d, "pages")
     return m.digest(m.extract(pages, m.train(pages)))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import exact as m
+    return m.groups(read(spark, d, "documents"))

@@ -96,3 +96,9 @@ e AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT u AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(v) AS component_id, u = min(v) AS kept FROM r LEFT JOIN n ON n.doc_id = u GROUP BY u
 """
+
+ORACLE["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
+"""
