@@ -79,3 +79,15 @@ def op9_html_extraction(spark: SparkSession, d: str) -> DataFrame:
 def op12_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     from recollect.llm import exact as m
     return m.groups(read(spark, d, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import merkle as m
+    return m.digest(read(spark, d, "documents"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    from recollect.llm import prefixtrie as m
+    return m.digest(read(spark, d, "conversations"))

@@ -102,3 +102,54 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d
 """
+
+
+def _crc32(n: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({n} AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _leaf(text: str) -> str:
+    part = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Levels of all trees at once, then every leaf's path upwards with its siblings.
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(':' || source, '-') AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS tested FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t AS (SELECT tree, 0 AS lvl, i, n, leaf AS h FROM l
+      UNION ALL SELECT tree, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY tree, lvl, i // 3, n),
+s AS (SELECT tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, i, n, h FROM s UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+p AS (SELECT tree, doc_id, leaf, 0 AS lvl, i, n, i AS place, '' AS sib, tested AS h FROM l
+      UNION ALL SELECT p.tree, doc_id, leaf, p.lvl + 1, p.i // 3, (p.n + 2) // 3, place, sib || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> p.i), ''),
+          sha256(string_agg(CASE WHEN t.i = p.i THEN p.h ELSE t.h END, '' ORDER BY t.i))
+      FROM p JOIN t ON t.tree = p.tree AND t.lvl = p.lvl AND t.i // 3 = p.i // 3 WHERE p.n > 1 GROUP BY ALL),
+q AS (SELECT doc_id, leaf, s.h AS subroot, 0 AS lvl, s.i, s.n, place, p.tree, sib, p.h FROM p JOIN s ON s.tree = p.tree WHERE p.n = 1
+      UNION ALL SELECT doc_id, leaf, subroot, q.lvl + 1, q.i // 3, (q.n + 2) // 3, place, tree, sib || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> q.i), ''),
+          sha256(string_agg(CASE WHEN u.i = q.i THEN q.h ELSE u.h END, '' ORDER BY u.i))
+      FROM q JOIN u ON u.lvl = q.lvl AND u.i // 3 = q.i // 3 WHERE q.n > 1 GROUP BY ALL)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(sib) AS proof_sha256, q.h AS folded_root, q.h = u.h AS verified FROM q, u WHERE q.n = 1 AND u.n = 1
+"""
+
+#: Prefixes of all rebuilt conversations by name; a node's subtree are the later prefixes of its members.
+ORACLE["op11_prefix_trie"] = rf"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'id': id, 'w': w}} ORDER BY turn NULLS FIRST, id) AS l, {_crc32("c")} % 4 AS h FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l FROM o LEFT JOIN o b ON b.c = o.c - o.c % 20),
+p AS (SELECT c, d, len(l) = d AS last, sha256(array_to_string(list_transform(l[1:d], lambda x: x.id), ',')) AS name, CASE WHEN d > 0 THEN l[d].w ELSE 0 END AS w
+      FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+u AS (SELECT p.*, lag(name) OVER (PARTITION BY c ORDER BY d) AS up FROM p),
+n AS (SELECT name, any_value(d) AS d, any_value(up) AS up, any_value(w) AS w, min(c) AS c, count(*) AS n,
+      sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends FROM u GROUP BY name),
+k AS (SELECT up AS name, count(*) AS k FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT top, count(*) FILTER (k.name IS NULL) AS leaves, sum((n.n - 1) * n.w) AS saved
+      FROM (SELECT DISTINCT a.name AS top, b.name FROM p a JOIN p b ON a.c = b.c AND a.d <= b.d) x JOIN n ON n.name = x.name LEFT JOIN k ON k.name = x.name GROUP BY top)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, m.c AS parent_conv_id, n.n AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM n LEFT JOIN n m ON m.name = n.up LEFT JOIN k ON k.name = n.name JOIN s ON s.top = n.name
+"""
