@@ -1,25 +1,26 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams, a scan of the documents' word windows, verified hits.
 
 The benchmark is dealt in blocks of at most ``block_words`` words, so each broadcast set has that size at most; every
-block is held against every document. One block (the usual case) is one narrow pass without a shuffle.
+block is held against every document. One block (the usual case) is one narrow pass without a shuffle. Several blocks are
+collected, broadcast, scanned and dropped one after the other, so the driver holds one at a time; findings are staged.
 
 Defined cases: a null text or one without words has no hits; items without words are no items; items of fewer than
-``n`` words are one window of all their words; equal items all count; documents with equal or null ids are separate rows,
+``n`` words are one window of all their words; equal items all count; an item without an id hits words, but isn't listed; documents with equal or null ids are separate rows,
 each judged by its own text, over any number of blocks; an empty benchmark hits nothing; other columns are ignored.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from recollect.llm.frames import arrow_map, doc_bytes, stage
+from recollect.llm.frames import arrow_filter, arrow_map, doc_bytes, stage
 from recollect.llm.hashing import LOWER, byte_class, windows, word_bounds, word_hashes
 
 #: Bytes of words: digits, letters, and everything beyond ASCII.
 WORD = byte_class(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 BITS = 20
+#: Rows whose findings a task holds at once.
+BATCH = 500
 
 RESULT = "doc_id bigint, n_words bigint, n_hit bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 #: One block's findings: a row's key, and its hit runs by words (first, behind the last) and by bytes.
@@ -40,8 +41,8 @@ def _plain(low, starts, ends) -> bytes:
 class NgramSet:
     """The windows of some items: sorted hashes by width, a bit table before them, and the words behind each hash."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
-        found: dict[tuple[int, int], dict[bytes, set[str]]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
+        found: dict[tuple[int, int], dict[bytes, set[str | None]]] = {}
         for item, data in items:
             low, starts, ends, hashes = words_of(data)
             width = min(n, len(starts))
@@ -74,7 +75,7 @@ class NgramSet:
                     hit[i + width] -= 1
         first, last = word_bounds(np.cumsum(hit[:-1]) > 0)
         runs = np.stack([first, last, starts[first], ends[last - 1] if len(last) else last], axis=1).astype(np.int64)
-        return len(starts), runs, sorted(items)
+        return len(starts), runs, sorted(items - {None})
 
     def scan(self, data: bytes | None):
         """Words, hit words, byte spans of hit runs, items with occurring windows."""
@@ -82,25 +83,27 @@ class NgramSet:
         return words, int((runs[:, 1] - runs[:, 0]).sum()), runs[:, 2], runs[:, 3], items
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """Items in blocks of at most ``block_words`` words each (one item alone may be longer).
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[DataFrame]:
+    """(item, data) in blocks of at most ``block_words`` words each (one item alone may be longer); none without words.
 
     Block numbers come from a running sum per hash bucket, so that no task sorts all items.
     """
     size = F.size(F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(
-        F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("data"), size.alias("words"))
-    items = items.where("words > 0")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("data"), size.alias("words")).where("words > 0")
     total = items.agg(F.sum("words")).first()[0] or 0
     buckets = -(-total // block_words)
     if buckets <= 1:
-        return [[(r.item, bytes(r.data)) for r in items.select("item", "data").collect()]] if total else []
+        return [items.select("item", "data")] if total else []
     order = Window.partitionBy("bucket").orderBy("item", "data")
     dealt = stage(items.withColumn("bucket", F.pmod(F.xxhash64("item", "data"), F.lit(buckets)))
                   .withColumn("part", F.floor((F.sum("words").over(order) - 1) / block_words)), "benchmark-blocks")
     keys = dealt.select("bucket", "part").distinct().collect()
-    return [[(r.item, bytes(r.data)) for r in dealt.where((F.col("bucket") == k.bucket) & (F.col("part") == k.part))
-             .select("item", "data").collect()] for k in keys]
+    return [dealt.where((F.col("bucket") == k.bucket) & (F.col("part") == k.part)).select("item", "data") for k in keys]
+
+
+def _broadcast(block: DataFrame | None, spark, n: int):
+    """The set of one block, sent to the executors."""
+    return spark.sparkContext.broadcast(NgramSet([(r.item, bytes(r.data)) for r in block.collect()] if block is not None else [], n))
 
 
 def _digest(text_col: str) -> F.Column:
@@ -111,12 +114,12 @@ def _digest(text_col: str) -> F.Column:
 def find(docs: DataFrame, benchmark: DataFrame, n: int = 13, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text", block_words: int = 2_000_000) -> DataFrame:
     """Per document: words, hit words, byte spans of the hit runs, and the items whose windows occur."""
-    parts = blocks(benchmark, item_col, item_text_col, block_words) or [[]]
+    parts = blocks(benchmark, item_col, item_text_col, block_words) or [None]
     return (_one_block if len(parts) == 1 else _keyed)(docs, parts, n, id_col, text_col).select("doc_id", "n_words", "n_hit", "starts", "ends", "items")
 
 
 def _one_block(docs: DataFrame, parts: list, n: int, id_col: str, text_col: str) -> DataFrame:
-    grams = docs.sparkSession.sparkContext.broadcast(NgramSet(parts[0], n))
+    grams = _broadcast(parts[0], docs.sparkSession, n)
 
     def step(batch: pa.RecordBatch) -> dict:
         rows = [grams.value.scan(x) for x in batch.column(1).to_pylist()]
@@ -124,24 +127,26 @@ def _one_block(docs: DataFrame, parts: list, n: int, id_col: str, text_col: str)
         return {"doc_id": batch.column(0), "n_words": words, "n_hit": hits, "starts": [x.tolist() for x in starts],
                 "ends": [x.tolist() for x in ends], "items": items}
 
-    return arrow_map(doc_bytes(docs, id_col, text_col), step, RESULT)
+    return arrow_map(doc_bytes(docs, id_col, text_col), step, RESULT, rows=BATCH)
 
 
 def _keyed(docs: DataFrame, parts: list, n: int, id_col: str, text_col: str) -> DataFrame:
     """The findings with each row's key (doc_id, digest). Several blocks' findings are joined by it; texts don't move."""
     data = doc_bytes(docs, id_col, text_col, _digest(text_col).alias("digest"))
     passes = []
-    for block in parts:
-        grams = docs.sparkSession.sparkContext.broadcast(NgramSet(block, n))
+    for k, block in enumerate(parts):
+        grams = _broadcast(block, docs.sparkSession, n)
 
         def step(batch: pa.RecordBatch, grams=grams) -> dict:
             words, runs, items = zip(*[grams.value.runs(x) for x in batch.column(1).to_pylist()])
             return {"doc_id": batch.column(0), "digest": batch.column(2), "n_words": words, "runs": [x.tolist() for x in runs], "items": items}
 
-        passes.append(arrow_map(data, step, FINDINGS))
-    rows, more = passes[0], passes[1].where(F.size("runs") > 0) if len(passes) > 1 else passes[0].where("false")
+        found = arrow_map(data, step, FINDINGS, rows=BATCH)
+        passes.append(stage(found.where(F.size("runs") > 0).dropDuplicates(["doc_id", "digest"]) if k else found, "findings"))
+        grams.unpersist()
+    rows, more = passes[0], passes[1] if len(passes) > 1 else passes[0].where("false")
     for x in passes[2:]:
-        more = more.unionByName(x.where(F.size("runs") > 0))
+        more = more.unionByName(x)
     more = more.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.flatten(F.collect_list("runs")).alias("more_runs"), F.flatten(F.collect_list("items")).alias("more_items"))
     joined = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
@@ -178,18 +183,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     parts = blocks(benchmark, item_col, item_text_col, block_words)
     if remove == "documents" and len(parts) <= 1:
-        grams = docs.sparkSession.sparkContext.broadcast(NgramSet((parts or [[]])[0], n))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for text in batch.column(text_col):
-                    words, hits, *_ = grams.value.scan((text.as_py() or "").encode("utf-8", "replace"))
-                    keep.append(not (hits > 0 and 100 * hits >= percent * words))
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        return docs.mapInArrow(run, docs.schema)
-    found = _keyed(docs, parts or [[]], n, id_col, text_col)
+        grams = _broadcast((parts or [None])[0], docs.sparkSession, n)
+
+        def keep(text: str | None) -> bool:
+            words, hits, *_ = grams.value.scan((text or "").encode("utf-8", "replace"))
+            return not (hits > 0 and 100 * hits >= percent * words)
+
+        return arrow_filter(docs, text_col, keep)
+    found = _keyed(docs, parts or [None], n, id_col, text_col)
     own = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (_digest(text_col) == F.col("_digest"))
     key = [F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")]
     if remove == "documents":

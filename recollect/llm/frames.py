@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from recollect import session
 from recollect.session import drop_staged as drop, staging_root
 
-__all__ = ["arrow_map", "doc_bytes", "drop", "read", "stage", "stage_narrow", "staging_root"]
+__all__ = ["arrow_filter", "arrow_map", "doc_bytes", "drop", "read", "stage", "stage_narrow", "staging_root"]
 #: Shuffle files of a query go when it has ended, instead of when the driver happens to collect its garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -56,6 +56,14 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, column: str, keep: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``df`` whose ``column`` passes ``keep``. Only this column goes to Python, and only the verdicts come back."""
+    def verdicts(values: pa.Array) -> pa.Array:
+        return pa.array([keep(x.as_py()) for x in values], pa.bool_())
+
+    return df.where(F.arrow_udf(verdicts, "boolean")(F.col(column)))
+
+
 def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from recollect.llm.frames import arrow_map, doc_bytes
+from recollect.llm.frames import arrow_filter, arrow_map, doc_bytes
 from recollect.llm.hashing import mix
 
 BUCKETS = 1 << 14
+#: Parts in which the texts of a language are ranked for the sample.
+PARTS = 8
 ORDERS = (1, 2, 3, 4)
 DIMENSIONS = 16
 UNKNOWN = "und"
@@ -93,10 +95,14 @@ class Model:
 
 
 def sample(labelled: DataFrame, per_language: int) -> list:
-    """At most ``per_language`` labelled rows of each language, by a hash of the text: (lang, buckets, counts, total)."""
-    by = Window.partitionBy("lang").orderBy("_order", "_text")
-    keys = (labelled.select("lang", F.xxhash64("data").alias("_order"), F.sha2("data", 256).alias("_text")).distinct()
-            .withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= per_language).select("lang", "_text"))
+    """At most ``per_language`` labelled rows of each language, by a hash of the text: (lang, buckets, counts, total).
+
+    A language's texts are first ranked in ``PARTS`` parts, so that no task ranks more than ``PARTS`` * ``per_language`` of those left.
+    """
+    keys = labelled.select("lang", F.xxhash64("data").alias("_order"), F.sha2("data", 256).alias("_text")).distinct()
+    for by in (["lang", F.pmod(F.xxhash64("_text"), F.lit(PARTS))], ["lang"]):
+        keys = keys.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_order", "_text"))).where(F.col("_rank") <= per_language)
+    keys = keys.select("lang", "_text")
     chosen = labelled.withColumn("_text", F.sha2("data", 256)).join(F.broadcast(keys), ["lang", "_text"], "left_semi")
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -178,11 +184,4 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The documents whose language is accepted; all columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            keep = [not shared.value.predict(t.as_py())[2] for t in batch.column(text_col)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return arrow_filter(docs, text_col, lambda text: not shared.value.predict(text)[2])

@@ -4,10 +4,11 @@ Matches of a pattern come from ``regexp_extract_all``, their places from the len
 them. Candidate strings for the entropy are runs of 20 or more base64 characters. A window of 20 characters slides over
 a candidate; with counts c of its characters, S = sum of c log2 c changes by the character that leaves and the one that
 enters, and the window's entropy is log2(20) - S / 20. A candidate is reported if a window reaches the threshold of its
-character class (hexadecimal, or mixed) and no allow-list pattern suppresses it.
+character class (hexadecimal, or mixed) and no allow-list pattern suppresses it. The counts are five bits each, packed
+into ``WORDS`` longs; a step changes two of them.
 
-Everything works row by row in one narrow pass: no shuffle, no Python. Cost is linear in the text, and quadratic with a
-tiny factor in the number of matches of one text.
+Everything works row by row in one narrow pass: no shuffle, no Python. Cost is linear in the text; sums and maxima over
+the n matches of a text are carried on in blocks of sqrt(n), as arrays only grow by being copied.
 
 Defined cases: a null or empty text has no spans; overlapping spans of different kinds are all reported, but a
 candidate inside a base span isn't reported again; rows with equal ids are scanned each by itself; an empty table gives
@@ -35,7 +36,7 @@ ASSIGN = ("(" + "|".join(_either_case(w) for w in ("password", "passwd", "secret
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/=_-]{20,}"
 #: Candidates that aren't secrets: words and numbers, rulers, paths and joined words, stated examples.
-ALLOW = ["^[A-Za-z]+$", "^[0-9]+$", "^(.)\\1+$", "^[A-Za-z]+([-_/+=]+[A-Za-z]*)+$", "(?i)example|placeholder|changeme"]
+ALLOW = ["^[A-Za-z]+$", "^[0-9]+$", "^(.)\\1+$", "^[A-Za-z]+[-_/+=][A-Za-z_/+=-]*$", "(?i)example|placeholder|changeme"]
 
 
 def let(value: Column, body) -> Column:
@@ -43,13 +44,25 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def before(values: Column, carry, first: int = 0) -> Column:
+    """For each of an array of ints what ``carry`` makes of all before it, from ``first`` on."""
+    none = F.array().cast("array<int>")
+
+    def run(block: Column) -> Column:
+        step = lambda s, x: F.struct(carry(s["now"], x).alias("now"), F.concat(s["all"], F.array(s["now"])).alias("all"))
+        return F.aggregate(block, F.struct(F.lit(first).alias("now"), none.alias("all")), step)
+
+    def dealt(x: Column, n: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / size).cast("int") - 1), lambda i: run(F.slice(x, i * size + 1, size)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, run(F.transform(b, lambda r: r["now"]))["all"], lambda r, at: F.transform(r["all"], lambda v: carry(at, v)))))
+
+    return let(values, lambda x: F.when(F.size(x) == 0, none).otherwise(let(F.ceil(F.sqrt(F.size(x))).cast("int"), lambda size: dealt(x, F.size(x), size))))
+
+
 def _starts(pieces: Column, found: Column) -> Column:
     """Where each match starts: the lengths of all pieces up to it and of the matches before."""
-    step = lambda s, i: F.struct((s["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).alias("at"),
-                                 F.concat(s["all"], F.array(s["at"] + F.length(F.get(pieces, i)))).alias("all"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, zero, step, lambda s: s["all"])
+    lengths = F.transform(found, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+    return F.zip_with(let(lengths, lambda x: before(x, lambda a, b: a + b)), F.slice(pieces, 1, F.size(found)), lambda at, p: at + F.length(p))
 
 
 def matches(text: Column, pattern: str, least: Column | int = 0, group: int = 0) -> Column:
@@ -68,22 +81,50 @@ def _weight(k: Column) -> Column:
     return F.get(F.array(*[F.lit(k * log2(k) if k else 0.0) for k in range(WINDOW + 2)]), k)
 
 
-def _count(chars: Column, first: Column, char: Column) -> Column:
-    return F.size(F.filter(F.slice(chars, first + 1, F.lit(WINDOW)), lambda c: c == char))
+def _shift(name: str, value: Column, bits: Column) -> Column:
+    return F.call_function(name, value, bits)
+
+
+#: Counts of five bits in a long; candidates have characters from + to z.
+PER_WORD, FIRST = 12, ord("+")
+WORDS = -(-(ord("z") - FIRST + 1) // PER_WORD)
 
 
 def least_weight(chars: Column) -> Column:
     """The least S of any window over an array of characters, from incremental counts."""
-    head = F.aggregate(F.array_distinct(F.slice(chars, 1, WINDOW)), F.lit(0.0), lambda s, c: s + _weight(_count(chars, F.lit(0), c)))
+    def window(codes: Column) -> Column:
+        word = lambda x: F.floor(x / PER_WORD).cast("int")
+        bits = lambda x: (x % PER_WORD) * 5
+        one = lambda x: _shift("shiftleft", F.lit(1).cast("bigint"), bits(x))
 
-    def slide(s: Column, i: Column) -> Column:
-        out, into = F.get(chars, i), F.get(chars, i + WINDOW)
-        leaves, enters = _count(chars, i, out), _count(chars, i, into)
-        now = s["now"] - _weight(leaves) + _weight(leaves - 1) - _weight(enters) + _weight(enters + 1)
-        return let(F.when(out == into, s["now"]).otherwise(now), lambda v: F.struct(v.alias("now"), F.least(v, s["least"]).alias("least")))
+        def count(s: Column, x: Column) -> Column:
+            own = s["w0"]
+            for j in range(1, WORDS):
+                own = F.when(word(x) == j, s[f"w{j}"]).otherwise(own)
+            return _shift("shiftright", own, bits(x)).bitwiseAND(F.lit(31).cast("bigint")).cast("int")
 
-    steps = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(0), F.size(chars) - WINDOW - 1)).otherwise(F.array().cast("array<int>"))
-    return let(head, lambda h: F.aggregate(steps, F.struct(h.alias("now"), h.alias("least")), slide, lambda s: s["least"]))
+        def fill(s: Column, x: Column) -> Column:
+            return F.struct(*((s[f"w{j}"] + F.when(word(x) == j, one(x)).otherwise(0)).alias(f"w{j}") for j in range(WORDS)))
+
+        def slide(s: Column, i: Column) -> Column:
+            def moved(out: Column, into: Column) -> Column:
+                leaves, enters = count(s, out), count(s, into)
+                now = s["now"] - _weight(leaves) + _weight(leaves - 1) - _weight(enters) + _weight(enters + 1)
+                words = [(s[f"w{j}"] - F.when(word(out) == j, one(out)).otherwise(0) + F.when(word(into) == j, one(into)).otherwise(0)).alias(f"w{j}") for j in range(WORDS)]
+                return let(now, lambda v: F.struct(*words, v.alias("now"), F.least(v, s["least"]).alias("least")))
+            return let(F.struct(F.get(codes, i).alias("out"), F.get(codes, i + WINDOW).alias("into")), lambda x: F.when(x["out"] == x["into"], s).otherwise(moved(x["out"], x["into"])))
+
+        empty = F.struct(*(F.lit(0).cast("bigint").alias(f"w{j}") for j in range(WORDS)))
+        steps = F.when(F.size(codes) > WINDOW, F.sequence(F.lit(0), F.size(codes) - WINDOW - 1)).otherwise(F.array().cast("array<int>"))
+        head = F.slice(codes, 1, WINDOW)
+
+        def start(s: Column) -> Column:
+            weight = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda w, x: w + _weight(count(s, x)))
+            return let(weight, lambda w: F.struct(*(s[f"w{j}"].alias(f"w{j}") for j in range(WORDS)), w.alias("now"), w.alias("least")))
+
+        return let(let(F.aggregate(head, empty, fill), start), lambda s: F.aggregate(steps, s, slide, lambda s: s["least"]))
+
+    return let(F.transform(chars, lambda c: F.ascii(c) - FIRST), window)
 
 
 def high_entropy(text: Column, allow: list[str]) -> Column:
@@ -109,11 +150,18 @@ def spans(text: Column, allow: list[str] = ALLOW) -> Column:
     """array<kind, start, end> in code points, end exclusive, by start, then kind as listed."""
     of = lambda kind, rows: F.transform(rows, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     base = F.concat(of("assign", matches(text, ASSIGN, 6, 2)), of("access", matches(text, ACCESS)), of("hex", matches(text, HEX)))
-    both = let(F.struct(base.alias("base"), high_entropy(text, allow).alias("high")), lambda x: F.concat(x["base"], F.filter(
-        x["high"], lambda h: ~F.exists(x["base"], lambda b: (b["start"] <= h["start"]) & (h["end"] <= b["end"])))))
     rank = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind)
-    keyed = F.transform(both, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    keyed = lambda rows: F.transform(rows, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    def outside(rows: Column) -> Column:
+        """Without candidates that lie inside a base span: base spans that start no later have all ended before."""
+        is_base = lambda s: s["rank"] <= len(BASE_KINDS)
+        ends = F.transform(rows, lambda s: F.when(is_base(s), s["end"]).otherwise(0))
+        placed = F.zip_with(rows, before(ends, lambda a, b: F.greatest(a, b)), lambda s, most: F.struct(s.alias("s"), most.alias("most")))
+        return F.transform(F.filter(placed, lambda x: is_base(x["s"]) | (x["most"] < x["s"]["end"])),
+                           lambda x: F.struct(x["s"]["kind"].alias("kind"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end")))
+
+    return let(F.array_sort(keyed(F.concat(base, high_entropy(text, allow)))), outside)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: list[str] = ALLOW) -> DataFrame:
@@ -125,16 +173,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", allow: list[str] = ALLOW) -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans become one mark. No document goes."""
     def cut(x: Column) -> Column:
-        text, found = x["t"], x["s"]
-        step = lambda s, m: F.struct(F.when(m["start"] < s["at"], s["out"]).otherwise(F.concat(
-            s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.lit(mark))).alias("out"), F.greatest(s["at"], m["end"]).alias("at"))
-        zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-        return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, zero, step, lambda s: F.concat(
-            s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+        wide, found = x["w"], x["s"]
+        part = lambda at, end: F.decode(F.substring(wide, at * 4 + 1, F.greatest(end - at, F.lit(0)) * 4), "UTF-32")
+        ends = F.transform(found, lambda m: m["end"])
+        kept = F.zip_with(found, before(ends, lambda a, b: F.greatest(a, b)), lambda m, at: F.when(m["start"] < at, F.lit("")).otherwise(F.concat(part(at, m["start"]), F.lit(mark))))
+        return F.concat(F.array_join(kept, ""), part(F.array_max(ends), F.octet_length(wide)))
 
+    # four bytes a code point: a part is found by its place, however long the text is
     text = F.col(text_col).cast("string")
-    clean = let(F.struct(text.alias("t"), let(text, lambda t: spans(t, allow)).alias("s")), cut)
-    return docs.withColumn(text_col, F.when(text.isNull(), text).otherwise(clean))
+    found = let(F.struct(text.alias("t"), let(text, lambda t: spans(t, allow)).alias("s")), lambda x: F.when(F.size(x["s"]) == 0, x["t"]).otherwise(
+        let(F.struct(F.encode(x["t"], "UTF-32").alias("w"), x["s"].alias("s")), cut)))
+    return docs.withColumn(text_col, F.when(text.isNull(), text).otherwise(found))
 
 
 def _joined(rows: Column) -> Column:

@@ -15,7 +15,7 @@ dw AS (SELECT doc_id, k, unnest(range(1, CAST(len(w) - k + 2 AS BIGINT))) AS i,
 dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM dw),
 hits AS (SELECT doc_id, k, i, item FROM dg JOIN grams USING (k, g)),
 hw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT doc_id, k, i FROM hits)) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+its AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hw.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(its.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AND 20 * coalesce(hw.n, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN its USING (doc_id)
@@ -40,7 +40,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_matches("assign", _ASSIGN, 6, 2)} UNION ALL {_matches("access", "AKIA[A-Z0-9]+", 20)} UNION ALL {_matches("hex", "[0-9a-f]{24,}", 24)}),
 cand AS (SELECT *, row_number() OVER () AS c, regexp_matches(m, '^[0-9A-Fa-f]+$') AS hex FROM ({_matches("", "[A-Za-z0-9+/=_-]{20,}", 0)})
     WHERE NOT regexp_matches(m, '^[A-Za-z]+$') AND NOT regexp_matches(m, '^[0-9]+$') AND len(list_distinct(string_split(m, ''))) > 1
-    AND NOT regexp_matches(m, '^[A-Za-z]+([-_/+=]+[A-Za-z]*)+$') AND NOT regexp_matches(lower(m), 'example|placeholder|changeme')),
+    AND NOT regexp_matches(m, '^[A-Za-z]+[-_/+=][A-Za-z_/+=-]*$') AND NOT regexp_matches(lower(m), 'example|placeholder|changeme')),
 win AS (SELECT c, substr(m, i, 20) AS w FROM (SELECT c, m, unnest(range(1, length(m) - 18)) AS i FROM cand)),
 bits AS (SELECT c, max(log2(20) - list_sum(list_transform(list_distinct(string_split(w, '')), lambda x:
          (20 - length(replace(w, x, ''))) * log2(20 - length(replace(w, x, ''))))) / 20) AS b FROM win GROUP BY c),
@@ -127,11 +127,11 @@ u AS (SELECT 0 AS lvl, i, n, h FROM s UNION ALL SELECT lvl + 1, i // 3, (n + 2)
 p AS (SELECT tree, doc_id, leaf, 0 AS lvl, i, n, i AS place, '' AS sib, tested AS h FROM l
       UNION ALL SELECT p.tree, doc_id, leaf, p.lvl + 1, p.i // 3, (p.n + 2) // 3, place, sib || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> p.i), ''),
           sha256(string_agg(CASE WHEN t.i = p.i THEN p.h ELSE t.h END, '' ORDER BY t.i))
-      FROM p JOIN t ON t.tree = p.tree AND t.lvl = p.lvl AND t.i // 3 = p.i // 3 WHERE p.n > 1 GROUP BY ALL),
+      FROM p JOIN t ON t.tree = p.tree AND t.lvl = p.lvl AND t.i // 3 = p.i // 3 WHERE p.n > 1 GROUP BY p.tree, doc_id, leaf, p.lvl, p.i, p.n, place, sib),
 q AS (SELECT doc_id, leaf, s.h AS subroot, 0 AS lvl, s.i, s.n, place, p.tree, sib, p.h FROM p JOIN s ON s.tree = p.tree WHERE p.n = 1
       UNION ALL SELECT doc_id, leaf, subroot, q.lvl + 1, q.i // 3, (q.n + 2) // 3, place, tree, sib || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> q.i), ''),
           sha256(string_agg(CASE WHEN u.i = q.i THEN q.h ELSE u.h END, '' ORDER BY u.i))
-      FROM q JOIN u ON u.lvl = q.lvl AND u.i // 3 = q.i // 3 WHERE q.n > 1 GROUP BY ALL)
+      FROM q JOIN u ON u.lvl = q.lvl AND u.i // 3 = q.i // 3 WHERE q.n > 1 GROUP BY doc_id, leaf, subroot, q.lvl, q.i, q.n, place, tree, sib)
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(sib) AS proof_sha256, q.h AS folded_root, q.h = u.h AS verified FROM q, u WHERE q.n = 1 AND u.n = 1
 """
 
