@@ -1,7 +1,8 @@
-"""A small HTML reader: one regular expression cuts tags, a stack builds the tree, and each text run knows its node.
+"""A small HTML reader: a scanner cuts tags, a stack builds the tree, and each text run knows its node.
 
 Only comments and the content of script and style are left out; all other elements, as svg, math, object, noscript,
-template and iframe, are ordinary nodes, and ``/>`` ends an element at once.
+template and iframe, are ordinary nodes, and ``/>`` ends any element at once. What has no end as a tag is text. Time is
+linear in the page for any markup: where a tag ends is remembered for each quote, and open elements are kept by name.
 """
 
 import re
@@ -16,8 +17,11 @@ CLOSES_P = BLOCK - {"html", "head", "body", "title", "option", "caption", "tbody
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 P_LIMITS = frozenset("article aside blockquote body button caption div fieldset footer form header html main nav object section table td th".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)(?:</\1\s*[^>]*>|\Z)"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Elements whose content holds no tags; the text of the last two is kept.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for n in ("script", "style", "title", "textarea")}
+KEPT_RAW = frozenset(("title", "textarea"))
+NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
+SPECIAL = re.compile("[>\"']")
 ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -28,56 +32,101 @@ class Tree:
     def __init__(self, html: str):
         self.tags, self.parents, self.tokens = [""], [-1], [()]
         self.runs: list[tuple[int, str, bool]] = []
-        stack, broken, at = [0], True, 0
-        for m in TAG.finditer(html):
-            if m.start() > at:
-                self.runs.append((stack[-1], html[at:m.start()], broken))
+        self.html, self.stack, self.open, self.ends, self.seen = html, [0], {}, {}, (0, -1)
+        at, shown, broken = 0, 0, True
+        while (at := html.find("<", at)) >= 0:
+            found = self._tag(at)
+            if found is None:
+                at += 1
+                continue
+            end, closing, name, attributes = found
+            if at > shown:
+                self.runs.append((self.stack[-1], html[shown:at], broken))
                 broken = False
-            at = m.end()
-            raw, closing, name = m.group(1), m.group(4), m.group(5)
-            if raw:
-                raw = raw.lower()
-                if raw in ("title", "textarea"):
-                    node = self._open(raw, m.group(2), stack[-1])
-                    self.runs.append((node, m.group(3), True))
-                    broken = True
+            at = shown = end
+            if not name:
                 continue
-            if name is None:
+            if name in RAW and not closing:
+                close = None if attributes.endswith("/") else RAW[name].search(html, end)
+                inside = "" if attributes.endswith("/") else html[end:close.start()] if close else html[end:]
+                at = shown = end + len(inside) if not close else close.end()
+                if name in KEPT_RAW:
+                    self.runs.append((self._node(name, attributes), inside, True))
+                    broken = True
                 continue
-            name = name.lower()
             broken |= name in BLOCK
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if self.open.get(name):
+                    self._cut(self.open[name][-1])
                 continue
             if name in CLOSES_P:
-                self._close(stack, ("p",), P_LIMITS)
+                self._close(("p",), P_LIMITS)
             if name in SAME:
-                self._close(stack, ("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,), SAME[name])
+                self._close(("td", "th") if name in ("td", "th") else ("dt", "dd") if name in ("dt", "dd") else (name,), SAME[name])
             if name == "br":
-                self.runs.append((stack[-1], " ", broken))
-            node = self._open(name, m.group(6), stack[-1])
-            if name not in VOID and not m.group(6).endswith("/"):
-                stack.append(node)
-        if at < len(html):
-            self.runs.append((stack[-1], html[at:], broken))
+                self.runs.append((self.stack[-1], " ", broken))
+            node = self._node(name, attributes)
+            if name not in VOID and not attributes.endswith("/"):
+                self.open.setdefault(name, []).append(len(self.stack))
+                self.stack.append(node)
+        if shown < len(html):
+            self.runs.append((self.stack[-1], html[shown:], broken))
 
-    def _open(self, name: str, attributes: str, parent: int) -> int:
+    def _tag(self, at: int) -> tuple[int, bool, str, str] | None:
+        """End, whether it closes, name and attributes of what begins at ``at``; without a name: a comment or the like. None: text."""
+        html = self.html
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return len(html) if end < 0 else end + 3, False, "", ""
+        closing = html.startswith("/", at + 1)
+        m = NAME.match(html, at + 1 + closing)
+        end = self._end(m.end()) if m else -1
+        if end >= 0:
+            return end + 1, closing, m.group().lower(), html[m.end():end]
+        if html[at + 1:at + 2] in ("!", "?", "/"):
+            end = html.find(">", at)
+            return len(html) if end < 0 else end + 1, False, "", ""
+        return None
+
+    def _end(self, at: int) -> int:
+        """Where the ``>`` of a tag stands, outside quoted values; -1 without one. Each quote is followed once only."""
+        html, ends, path = self.html, self.ends, []
+        while True:
+            if not self.seen[0] <= at <= self.seen[1]:
+                m = SPECIAL.search(html, at)
+                self.seen = at, m.start() if m else len(html)
+            place = self.seen[1] if self.seen[1] < len(html) else -1
+            if place < 0 or place in ends or html[place] == ">":
+                break
+            path.append(place)
+            close = html.find(html[place], place + 1)
+            if close < 0:
+                place = -1
+                break
+            at = close + 1
+        end = ends.get(place, place)
+        for p in path:
+            ends[p] = end
+        return end
+
+    def _node(self, name: str, attributes: str) -> int:
         self.tags.append(name)
-        self.parents.append(parent)
+        self.parents.append(self.stack[-1])
         self.tokens.append(tuple(w for a in ATTR.finditer(attributes) for w in WORD.findall(a.group(2).lower())) if attributes else ())
         return len(self.tags) - 1
 
-    def _close(self, stack: list[int], names, limits) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in limits:
-                return
+    def _cut(self, k: int) -> None:
+        """Ends the open elements from place ``k`` of the stack on."""
+        for node in self.stack[k:]:
+            self.open[self.tags[node]].pop()
+        del self.stack[k:]
+
+    def _close(self, names, limits) -> None:
+        """Ends the nearest open element of ``names``, unless one of ``limits`` is nearer."""
+        nearest = lambda tags: max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+        k = nearest(names)
+        if k and k > nearest(limits):
+            self._cut(k)
 
     def text(self, chosen) -> str:
         """The blocks of the chosen nodes' runs: references decoded, white space as one space, joined by newlines."""
