@@ -1,6 +1,6 @@
 """The lexical index as tables: postings and corpus statistics."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,15 +12,19 @@ from recollect.session import stage
 
 @dataclass(frozen=True)
 class Corpus:
-    """Entries with their lexical index. All three are DataFrames; ``stats`` has one row.
+    """Entries with their lexical index. All are DataFrames; ``stats`` has one row.
 
-    ``buckets`` is not 0 if the entries are partitioned by ``bucket_of("seq", buckets)``.
+    ``buckets`` is not 0 if the entries are partitioned by ``bucket_of("seq", buckets)``. With ``grams`` and ``symbols``
+    substring searches find their entries through the vocabulary; without them they scan the entries.
     """
 
     entries: DataFrame
     postings: DataFrame
     stats: DataFrame
     buckets: int = 0
+    grams: DataFrame | None = None
+    symbols: DataFrame | None = None
+    memo: dict = field(default_factory=dict, compare=False)   # small things read once
 
 
 def bucket_of(seq, buckets: int) -> Column:

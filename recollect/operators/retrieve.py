@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from recollect import fixed, schemas
 from recollect.functions import rules
 from recollect.functions.text import any_of, contains_any
-from recollect.operators import rewrite
+from recollect.operators import rewrite, substring
 from recollect.operators.index import Corpus, bucket_of
 from recollect.operators.search import (has_term, is_message, keep_first, lowered, money_text, recency,
                                         search_hits, sized_join, sweep_condition, sweep_limit)
@@ -81,6 +81,29 @@ def _rank_passes(plan: Plan, variants: list[str]) -> int:
 def hits(corpus: Corpus, plan: Plan, features: dict | None = None) -> DataFrame:
     """seq, uuid, date_iso, ingested_at, pass_no, pos, rank and features of every entry a pass finds.
 
+    With a substring index the passes find their newest entries through it, and only these entries are read; the rows
+    have at most *passes x limit* of them. Without one, all passes share a scan.
+    """
+    if corpus.grams is None:
+        return _scan(corpus, plan, features)
+    passes = {no: substring.term_pass(ts, plan.limit) for no, ts in plan.substring.items() if ts}
+    passes |= {no: substring.term_pass([t], plan.limit, True) for no, t in plan.pings.items()}
+    if plan.sweep:
+        passes[plan.sweep] = substring.sweep_pass(sweep_limit(plan.limit))
+    newest = [(no, seq, pos, 0.0) for no, seq, pos in substring.Lookup(corpus).newest(passes)]
+    by_text = corpus.entries.sparkSession.createDataFrame(newest, "pass_no int, seq bigint, pos int, rank double")
+    found = search_hits(corpus, plan.ranked, plan.limit).select("pass_no", "seq", "pos", "rank").unionByName(by_text)
+    rows = substring.fetch(corpus, found, len(newest) + plan.limit * len(plan.ranked))
+    if features:
+        rows = rows.withColumn("_text", rules.joined_text())
+    if plan.sweep:
+        rows = rows.where((F.col("pass_no") != plan.sweep) | money_text())
+    return rows.select("seq", "uuid", "date_iso", "ingested_at", *[c.alias(k) for k, c in (features or {}).items()], "pass_no", "pos", "rank")
+
+
+def _scan(corpus: Corpus, plan: Plan, features: dict | None) -> DataFrame:
+    """``hits`` of a corpus without a substring index.
+
     One scan of the entries: ranked hits (limited, so few) join it, substring
     conditions are evaluated in it, features are computed for found rows only.
     """

@@ -12,19 +12,15 @@ from recollect.operators.index import Corpus
 from recollect.operators.ingest import index_doc
 
 BROADCAST_ROWS = rewrite.BROADCAST_ROWS
-GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def keep_first(df: DataFrame, group: str, order: list[Column], n: int, position: str = "pos") -> DataFrame:
-    """The first n rows of each group, numbered. Spark cuts each group to n rows before the shuffle, whatever n is."""
-    conf = df.sparkSession.conf
-    if int(conf.get(GROUP_LIMIT, "1000")) < n:
-        conf.set(GROUP_LIMIT, str(n))
+    """The first n rows of each group, numbered. Spark cuts each group to n rows before the shuffle, up to the session's threshold."""
     w = Window.partitionBy(group).orderBy(*order)
     return df.withColumn(position, F.row_number().over(w)).where(F.col(position) <= n)
 
 
-def sized_join(big: DataFrame, small: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+def sized_join(big: DataFrame, small: DataFrame, key: str | list[str], rows: int, how: str = "inner") -> DataFrame:
     """Join with a side of at most ``rows`` narrow rows: sent around when that is little, shuffled otherwise."""
     return big.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, key, how)
 

@@ -155,6 +155,17 @@ ORACLE["message_ping"] = sql(" UNION ALL ".join(
 ORACLE["finance_sweep"] = sql(
     f"""SELECT seq, uuid, date_iso, ocr_text, CAST(0 AS DOUBLE) AS rank
         FROM (SELECT * FROM entries WHERE {o.SWEEP} ORDER BY {o.RECENCY} LIMIT 240) WHERE {o.MONEY}""", "entries")
+_NEWEST40 = f"ORDER BY {o.RECENCY} LIMIT 40"
+_ACUTE = " OR ".join(f"contains(coalesce({c}, ''), 'é')" for c in ("ocr_text", "vlm_text", "filename"))
+ORACLE["substring_rare"] = sql(
+    f"""SELECT * FROM (SELECT uuid, date_iso FROM entries WHERE {like_any(['ordstrom', 'apple.com'])} {_NEWEST40})
+        UNION ALL SELECT * FROM (SELECT uuid, date_iso FROM entries WHERE {_ACUTE} {_NEWEST40})""", "entries")
+ORACLE["vocabulary_grams"] = sql(
+    """SELECT gram, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS entries FROM (
+         SELECT DISTINCT raw, term, df, substr(raw, i, 3) AS gram FROM (
+           SELECT raw, term, df, unnest(range(1, length(raw) - 1)) AS i FROM (
+             SELECT raw, term, count(*) AS df FROM postings WHERE tf_text > 0 GROUP BY raw, term)))
+       WHERE regexp_matches(gram, '^[a-z0-9]{3}$') GROUP BY gram""", "postings")
 ORACLE["money_text"] = sql(f"SELECT {o.MONEY} AS has_money, {LABEL} AS source, count(*) AS n FROM entries GROUP BY 1, 2", "entries")
 ORACLE["bank_source_filter"] = sql(f"SELECT uuid, ocr_text FROM entries WHERE {o.BANK}", "entries")
 ORACLE["restrict_finance"] = sql(

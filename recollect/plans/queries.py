@@ -6,7 +6,7 @@ from recollect import fixed
 from recollect.functions import dates, rules
 from recollect.functions.porter import with_term
 from recollect.functions.text import normalize
-from recollect.operators import answers, index, ingest, maintain, present, retrieve, rewrite, search
+from recollect.operators import answers, index, ingest, maintain, present, retrieve, rewrite, search, substring
 from recollect.sources import corpus as C, extract
 from recollect.sources.tables import table
 
@@ -30,7 +30,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> index.Corpus:
     """Entries and index of a data set, written once per application to the shared staging folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = index.staged_index(C.entries(spark, sf_dir))
+        _STAGED[key] = substring.indexed(index.staged_index(C.entries(spark, sf_dir)))
     return _STAGED[key]
 
 
@@ -330,17 +330,31 @@ def fts_search_common_words(spark, d) -> DataFrame:
 
 @query
 def substring_search(spark, d) -> DataFrame:
-    return search.substring_search(corpus(spark, d).entries, SUBSTRINGS, 25).select("uuid", "filename", "date_iso", "rank")
+    return substring.substring_search(corpus(spark, d), SUBSTRINGS, 25).select("uuid", "filename", "date_iso", "rank")
 
 
 @query
 def message_ping(spark, d) -> DataFrame:
-    return search.message_ping(corpus(spark, d).entries, "The HBO Max texts, user's apple.com", 60)
+    return substring.message_ping(corpus(spark, d), "The HBO Max texts, user's apple.com", 60)
 
 
 @query
 def finance_sweep(spark, d) -> DataFrame:
-    return search.finance_sweep(corpus(spark, d).entries, 60).select("seq", "uuid", "date_iso", "ocr_text", "rank")
+    return substring.finance_sweep(corpus(spark, d), 60).select("seq", "uuid", "date_iso", "ocr_text", "rank")
+
+
+@query
+def substring_rare(spark, d) -> DataFrame:
+    """A piece inside rare tokens, one across a border, and one that only a scan finds."""
+    c = corpus(spark, d)
+    return substring.substring_search(c, "ordstrom apple.com", 40).select("uuid", "date_iso").unionByName(
+        substring.substring_search(c, "é", 40).select("uuid", "date_iso"))
+
+
+@query
+def vocabulary_grams(spark, d) -> DataFrame:
+    """Per trigram: how many tokens hold it, and in how many places of entries these stand."""
+    return corpus(spark, d).grams.groupBy("gram").agg(F.count("*").alias("tokens"), F.sum("df").alias("entries"))
 
 
 @query
@@ -357,7 +371,7 @@ def bank_source_filter(spark, d) -> DataFrame:
 @query
 def restrict_finance(spark, d) -> DataFrame:
     """Of the candidates of the money sweep: bank records if any, else all."""
-    rows = search.finance_sweep(corpus(spark, d).entries, 60)
+    rows = substring.finance_sweep(corpus(spark, d), 60)
     return retrieve.prefer_bank(rows.withColumn("is_bank", rules.is_bank_text(rules.joined_text()))).select("uuid", "is_bank")
 
 
@@ -467,7 +481,7 @@ def hit_summary(spark, d) -> DataFrame:
 @query
 def gallery(spark, d) -> DataFrame:
     """Photos of the newest hits; files on disk are the previews and originals of the photo table."""
-    found = search.substring_search(corpus(spark, d).entries, PHOTOS, 60)
+    found = substring.substring_search(corpus(spark, d), PHOTOS, 60)
     from pyspark.sql import Window
     placed = found.withColumn("place", F.row_number().over(Window.orderBy(*search.recency())))
     on_disk = C.photos(spark, d).select(F.explode("path_derivatives").alias("f")).where("f.exists").select("f.path")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect import schemas
 from recollect.functions.porter import stem_word, with_term
-from recollect.operators import index, retrieve, rewrite, search
+from recollect.operators import index, retrieve, rewrite, search, substring
 
 WORDS = ["charge", "charged", "charging", "running", "runner", "run", "Étude", "élan", "naïve", "foo_bar", "foo bar", "generation",
          "happy", "happily", "ties", "bank's", "what's", "NYTimes", "Netflix", "$12.50", "2024-01-05", "relational", "hopping",
@@ -47,6 +47,12 @@ def both(spark):
     return rows, sqlite_db(rows), index.staged_index(entries, "t")
 
 
+@pytest.fixture(scope="module")
+def quick(both):
+    """The same corpus with the tables of the substring search."""
+    return substring.indexed(both[2], "t")
+
+
 def test_postings_equal_the_lexical_index(both):
     rows, con, c = both
     want = {}
@@ -102,18 +108,36 @@ def test_substring_search_equals_like(both, question):
     assert got == like_rows(con, rewrite.fallback_terms(question))
 
 
-def test_blank_question_finds_nothing(both):
+@pytest.mark.parametrize("named", [0, 500])
+@pytest.mark.parametrize("question", ["charge maximum", "arg", "what's up", "foo_ba", "école", "$12.50", "the of", "%", "un_er", "axim", "2024-01-05", "zzzz"])
+def test_substring_search_through_the_vocabulary_equals_like(both, quick, question, named, monkeypatch):
+    _, con, _ = both
+    monkeypatch.setattr(substring, "NAMED_TOKENS", named)
+    monkeypatch.setattr(substring, "FIRST", 1)
+    assert [r.uuid for r in substring.substring_search(quick, question, 10).collect()] == like_rows(con, rewrite.fallback_terms(question))
+
+
+def test_only_candidates_are_read(quick):
+    top = quick.entries.select("seq").limit(3)
+    plan = substring.fetch(quick, top, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert substring.handle("a.b") == ("symbol", ".") and substring.handle("ab_%é") is None and substring.handle("x_Apple.COM") == ("piece", "apple")
+
+
+def test_blank_question_finds_nothing(both, quick):
     assert search.substring_search(both[2].entries, "  ", 10).count() == 0
+    assert substring.substring_search(quick, "  ", 10).count() == 0
 
 
-def test_message_ping_keeps_stop_words_and_quotes(both):
+def test_message_ping_keeps_stop_words_and_quotes(both, quick):
     _, con, c = both
-    got = {}
-    for r in search.message_ping(c.entries, "The bank's max, foo", 5).orderBy("token", "pos").collect():
-        got.setdefault(r.token, []).append(f"{r.seq}")
-    for t in ["the", "bank's", "max", "foo"]:
-        want = [u.split(":")[1] for u in like_rows(con, [t], "uuid LIKE 'imsg:%'", 5)]
-        assert got.get(t, []) == want
+    for rows in (search.message_ping(c.entries, "The bank's max, foo", 5), substring.message_ping(quick, "The bank's max, foo", 5)):
+        got = {}
+        for r in rows.orderBy("token", "pos").collect():
+            got.setdefault(r.token, []).append(f"{r.seq}")
+        for t in ["the", "bank's", "max", "foo"]:
+            want = [u.split(":")[1] for u in like_rows(con, [t], "uuid LIKE 'imsg:%'", 5)]
+            assert got.get(t, []) == want
 
 
 def sequential(con, question, k, cli=False):
@@ -145,9 +169,9 @@ def sequential(con, question, k, cli=False):
 
 
 @pytest.mark.parametrize("question,k", [("max happy", 3), ("charge max", 15), ("bank's charge", 5), ("netflix", 12), ("foo_bar sky", 2)])
-def test_merge_equals_a_sequential_run(both, question, k):
-    rows, con, c = both
-    for cli in (True, False):
+def test_merge_equals_a_sequential_run(both, quick, question, k):
+    rows, con, scanned = both
+    for c, cli in ((scanned, True), (scanned, False), (quick, True), (quick, False)):
         want = sequential(con, question, k, cli)
         plan = (retrieve.plan_cli if cli else retrieve.plan_question)(question, k)
         plan.sweep = None
