@@ -94,7 +94,7 @@ def _answer(corpus, q, k, kind, kept, chat, key, cache, large, small, auto_route
     asked = q
     rows, n = read(q)
     if not n and auto_correct:
-        other = rewrite.suggest_one(q, rewrite.term_vocab(corpus.entries))
+        other = rewrite.suggest_one(q, corpus.words if corpus.words is not None else rewrite.term_vocab(corpus.entries))
         if other != q:
             again, n = read(other)
             if n:

@@ -24,6 +24,7 @@ class Corpus:
     buckets: int = 0
     grams: DataFrame | None = None
     symbols: DataFrame | None = None
+    words: DataFrame | None = None                            # the vocabulary of the spelling help, if it is stored
     memo: dict = field(default_factory=dict, compare=False)   # small things read once
 
 

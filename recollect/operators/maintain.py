@@ -46,7 +46,7 @@ def prune_postings(postings: DataFrame, entries: DataFrame) -> DataFrame:
 
 def run_prune(store, dry_run: bool = False, yes: bool = False, compact: bool = False, sample: int = 10) -> dict:
     """Prune a stored corpus, guarded: nothing is deleted without ``yes``, nor while another run
-    holds the index. ``code`` is 1 on refusal. Postings of what stays are kept as they are."""
+    holds the index. ``code`` is 1 on refusal. What stays isn't written again."""
     entries = store.entries()
     noise = find_noise(entries)
     total = noise.count()
@@ -60,8 +60,7 @@ def run_prune(store, dry_run: bool = False, yes: bool = False, compact: bool = F
         if not held:
             return {**report, "code": 1}
         if total:
-            corpus = store.corpus()
-            store.write(prune(corpus.entries), prune_postings(corpus.postings, corpus.entries))
+            store.delete(rules.is_prunable("filename"))
             report["deleted"] = total
         if compact:
             store.compact()

@@ -98,7 +98,9 @@ class Lookup:
         """piece, raw, term, df: the tokens that hold a piece."""
         holds = [(p, (F.col("gram") == self.rarest(p)) & F.col("raw").contains(p)) for p in pieces]
         which = F.filter(F.array(*[F.when(c, F.lit(p)) for p, c in holds]), lambda x: x.isNotNull())
-        return self.corpus.grams.where(any_of([c for _, c in holds])).select(F.explode(which).alias("handle"), "raw", "term", "df")
+        rows = self.corpus.grams.where(any_of([c for _, c in holds])).select(F.explode(which).alias("handle"), "raw", "term", "df")
+        # a stored corpus has a row for each segment, with what it adds or takes away
+        return rows.groupBy("handle", "raw", "term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def candidates(self, handles: set[tuple[str, str]]) -> tuple[DataFrame | None, int | None]:
         """(handle, seq) of all entries that can hold the handles' terms, and a bound of the rows if it is known."""

@@ -285,8 +285,8 @@ NEEDS = {
 }
 
 
-def sql(body: str, *needs: str, **extra: str) -> str:
-    """``body`` with the named parts it stands on."""
+def sql(body: str, *needs: str, over: dict | None = None, **extra: str) -> str:
+    """``body`` with the named parts it stands on; ``over`` puts other bodies in place of some."""
     order: list[str] = []
 
     def add(n):
@@ -296,7 +296,8 @@ def sql(body: str, *needs: str, **extra: str) -> str:
             order.append(n)
     for n in needs:
         add(n)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in order] + [f"{n} AS MATERIALIZED ({b})" for n, b in extra.items()]
+    bodies = CTES | (over or {})
+    parts = [f"{n} AS MATERIALIZED ({bodies[n]})" for n in order] + [f"{n} AS MATERIALIZED ({b})" for n, b in extra.items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 

@@ -107,9 +107,9 @@ def expansion(user: dict) -> str:
 
 ORACLE["synonym_expand"] = expansion({})
 ORACLE["synonym_expand_user"] = expansion({"uber": ["cab ride"], "texts": ["texts", "chat"]})
-ORACLE["term_vocab"] = sql(
-    """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
-         '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM entries""", "entries")
+VOCAB = """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
+         '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM entries"""
+ORACLE["term_vocab"] = sql(VOCAB, "entries")
 NAME = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE lower(c_name) END"
 ORACLE["term_vocab_newest"] = sql(
     """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
@@ -139,16 +139,16 @@ ORACLE["fts_match_prefix_and"] = sql(
 ORACLE["bm25_rank"] = sql(f"SELECT seq, round(rank, 6) AS rank FROM ({o.bm25(['netflix', 'charg'])})", "postings", "stats")
 
 
-def topk(prefixes, k, more=""):
+def topk(prefixes, k, more="", over=None):
     return sql(f"""SELECT CAST(pos AS INT) AS pos, uuid, {more} round(rank, 6) AS rank
-                   FROM ({o.ranked_pass(1, prefixes, k)}) JOIN entries USING (seq)""", "postings", "stats", "entries")
+                   FROM ({o.ranked_pass(1, prefixes, k)}) JOIN entries USING (seq)""", "postings", "stats", "entries", over=over)
 
 
 ORACLE["fts_search_topk"] = topk(["capit", "charg", "nytim"], 25, "filename,")
 ORACLE["fts_search_common_words"] = topk(["sourc", "messag", "direct"], 40)
-ORACLE["substring_search"] = sql(
-    f"""SELECT uuid, filename, date_iso, CAST(0 AS DOUBLE) AS rank FROM entries WHERE {like_any(['with', 'zueinen'])}
-        ORDER BY {o.RECENCY} LIMIT 25""", "entries")
+SUBSTRING = f"""SELECT uuid, filename, date_iso, CAST(0 AS DOUBLE) AS rank FROM entries WHERE {like_any(['with', 'zueinen'])}
+        ORDER BY {o.RECENCY} LIMIT 25"""
+ORACLE["substring_search"] = sql(SUBSTRING, "entries")
 ORACLE["message_ping"] = sql(" UNION ALL ".join(
     f"SELECT {q(t)} AS token, seq, CAST(pos AS INT) AS pos FROM ({o.text_pass(1, MSG + ' AND ' + like_any([t]), 60)})"
     for t in ["the", "hbo", "max", "texts", "user's", "apple.com"]), "entries")
@@ -160,12 +160,12 @@ _ACUTE = " OR ".join(f"contains(coalesce({c}, ''), 'é')" for c in ("ocr_text",
 ORACLE["substring_rare"] = sql(
     f"""SELECT * FROM (SELECT uuid, date_iso FROM entries WHERE {like_any(['ordstrom', 'apple.com'])} {_NEWEST40})
         UNION ALL SELECT * FROM (SELECT uuid, date_iso FROM entries WHERE {_ACUTE} {_NEWEST40})""", "entries")
-ORACLE["vocabulary_grams"] = sql(
-    """SELECT gram, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS entries FROM (
+GRAMS = """SELECT gram, count(*) AS tokens, CAST(sum(df) AS BIGINT) AS entries FROM (
          SELECT DISTINCT raw, term, df, substr(raw, i, 3) AS gram FROM (
            SELECT raw, term, df, unnest(range(1, length(raw) - 1)) AS i FROM (
              SELECT raw, term, count(*) AS df FROM postings WHERE tf_text > 0 GROUP BY raw, term)))
-       WHERE regexp_matches(gram, '^[a-z0-9]{3}$') GROUP BY gram""", "postings")
+       WHERE regexp_matches(gram, '^[a-z0-9]{3}$') GROUP BY gram"""
+ORACLE["vocabulary_grams"] = sql(GRAMS, "postings")
 ORACLE["money_text"] = sql(f"SELECT {o.MONEY} AS has_money, {LABEL} AS source, count(*) AS n FROM entries GROUP BY 1, 2", "entries")
 ORACLE["bank_source_filter"] = sql(f"SELECT uuid, ocr_text FROM entries WHERE {o.BANK}", "entries")
 ORACLE["restrict_finance"] = sql(
@@ -344,3 +344,18 @@ ORACLE["fmt_elapsed"] = f"""
 ORACLE["progress_metrics"] = sql(
     """SELECT status, count(*) AS n, round(count(*) / 125.0::DOUBLE, 3) AS per_second, 125.0::DOUBLE AS elapsed_s, '2m 5s' AS elapsed_human
        FROM classified WHERE status <> 'outside' GROUP BY 1""", "classified")
+
+# ===== segments: what a fresh build of the entries that are left gives ==================
+AGAIN = o.doc_rows(None, """(SELECT seq + 8000000000000 AS seq, rel_path, name, mtime_ns + 1000000000 AS mtime_ns, size, text FROM doc_files)""")
+LEFT = {"entries": f"""
+  SELECT * FROM (
+    SELECT * FROM ({o.CTES["entries"]}) WHERE uuid NOT IN (SELECT uuid FROM ({AGAIN}) WHERE status = 'new')
+    UNION ALL SELECT seq, uuid, filename, date_iso, ocr_text, vlm_text, image_path_used, CAST(1700000000 + seq % 86400 AS DOUBLE) AS ingested_at
+    FROM ({AGAIN}) WHERE status = 'new') WHERE NOT {NOISE}"""}
+ORACLE["segments_entries"] = sql("SELECT seq, uuid, date_iso, md5(ocr_text) AS ocr_text_md5, ingested_at FROM entries", "entries", over=LEFT)
+ORACLE["segments_postings"] = sql("SELECT term, count(*) AS n, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY term", "postings", over=LEFT)
+ORACLE["segments_stats"] = sql("SELECT n_docs, total_len FROM stats", "stats", over=LEFT)
+ORACLE["segments_vocabulary"] = sql(VOCAB, "entries", over=LEFT)
+ORACLE["segments_grams"] = sql(GRAMS, "postings", over=LEFT)
+ORACLE["segments_search"] = topk(["capit", "charg", "nytim"], 25, "filename,", LEFT)
+ORACLE["segments_substring_search"] = sql(SUBSTRING, "entries", over=LEFT)

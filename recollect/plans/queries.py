@@ -7,7 +7,9 @@ from recollect.functions import dates, rules
 from recollect.functions.porter import with_term
 from recollect.functions.text import normalize
 from recollect.operators import answers, index, ingest, maintain, present, retrieve, rewrite, search, substring
+from recollect.session import stage_path
 from recollect.sources import corpus as C, extract
+from recollect.sources.store import CorpusStore
 from recollect.sources.tables import table
 
 QUERIES: dict = {}
@@ -200,10 +202,63 @@ def ingest_photos_incremental(spark, d) -> DataFrame:
 @query
 def upsert_entries(spark, d) -> DataFrame:
     """All documents ingested again with new times, into an index that holds them."""
+    return maintain.upsert(C.entries(spark, d), _touched(spark, d)).select("seq", "uuid", "date_iso", _md5("ocr_text"), "ingested_at")
+
+
+def _touched(spark, d) -> DataFrame:
+    """All documents ingested again with new times."""
     files = C.document_files(spark, d).withColumn("mtime_ns", F.col("mtime_ns") + 1_000_000_000)
     new = ingest.document_rows(ingest.plain_text(files), C.ROOT, C.ROOT_NAME).where("status = 'new'")
-    new = new.withColumn("seq", F.col("seq") + 8_000_000_000_000).withColumn("ingested_at", C.ingested_at(F.col("seq")))
-    return maintain.upsert(C.entries(spark, d), new).select("seq", "uuid", "date_iso", _md5("ocr_text"), "ingested_at")
+    return new.withColumn("seq", F.col("seq") + 8_000_000_000_000).withColumn("ingested_at", C.ingested_at(F.col("seq")))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> index.Corpus:
+    """A stored corpus of several segments: all entries, then a batch of documents again, then a deletion. Written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, "segments")
+    if key not in _STAGED:
+        store = CorpusStore(spark, stage_path(spark, "segments"), buckets=8)
+        store.apply(C.entries(spark, sf_dir), merge=False)
+        store.apply(_touched(spark, sf_dir), merge=False)
+        store.delete(rules.is_prunable("filename"), merge=False)
+        _STAGED[key] = store.corpus()
+    return _STAGED[key]
+
+
+@query
+def segments_entries(spark, d) -> DataFrame:
+    return segments(spark, d).entries.select("seq", "uuid", "date_iso", _md5("ocr_text"), "ingested_at")
+
+
+@query
+def segments_postings(spark, d) -> DataFrame:
+    return segments(spark, d).postings.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+@query
+def segments_stats(spark, d) -> DataFrame:
+    return segments(spark, d).stats
+
+
+@query
+def segments_vocabulary(spark, d) -> DataFrame:
+    """The stored vocabulary of the spelling help, from signed counts."""
+    return segments(spark, d).words
+
+
+@query
+def segments_grams(spark, d) -> DataFrame:
+    rows = segments(spark, d).grams.groupBy("gram", "raw", "term").agg(F.sum("df").alias("df")).where("df > 0")
+    return rows.groupBy("gram").agg(F.count("*").alias("tokens"), F.sum("df").alias("entries"))
+
+
+@query
+def segments_search(spark, d) -> DataFrame:
+    return search.search(segments(spark, d), WORDS, 25).select("pos", "uuid", "filename", F.round("rank", 6).alias("rank"))
+
+
+@query
+def segments_substring_search(spark, d) -> DataFrame:
+    return substring.substring_search(segments(spark, d), SUBSTRINGS, 25).select("uuid", "filename", "date_iso", "rank")
 
 
 # ===== rewriting ===========================================================================

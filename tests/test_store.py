@@ -7,9 +7,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import maintain, retrieve, search
+from recollect import schemas
+from recollect.operators import index, maintain, retrieve, rewrite, search, substring
 from recollect.sources import corpus as C, extract
-from recollect.sources.store import CorpusStore
+from recollect.sources.store import CorpusStore, Segment, due, next_seq
 from recollect.streaming import incremental
 
 from conftest import SF
@@ -163,3 +164,90 @@ def test_message_stream(spark, tmp_path):
     want = ingest.message_rows(C.chat_messages(spark, SF), C.handles(spark, SF)).where("status = 'new'")
     assert store.entries().count() == want.select("uuid").distinct().count() > first
     assert store.entries().select("seq").distinct().count() == store.entries().count()
+
+
+# ===== segments ============================================================================
+
+def model(entries):
+    """What a fresh build of these entries gives."""
+    c = index.index(entries)
+    return (sorted(map(tuple, c.postings.select("term", "raw", "seq", "tf", "tf_text", "doc_len").collect())), tuple(c.stats.first()),
+            sorted(map(tuple, substring.vocabulary(c.postings).collect())), sorted(r.token for r in rewrite.term_vocab(entries).collect()))
+
+
+def read(store):
+    c = store.corpus()
+    words = c.grams.groupBy("gram", "raw", "term").agg(F.sum("df").alias("df")).where("df > 0").select("raw", "term", "df").distinct()
+    return (sorted(map(tuple, c.postings.select("term", "raw", "seq", "tf", "tf_text", "doc_len").collect())), tuple(c.stats.first()),
+            sorted(map(tuple, words.collect())), sorted(r.token for r in c.words.collect()))
+
+
+def batch(spark, ids, seq, text):
+    rows = [(seq + i, f"u{u}", f"f{u}.txt", None if u % 3 else "2024-01-05", f"{text} {u} charge apple{u % 5}.com", "", "", 5.0) for i, u in enumerate(ids)]
+    return spark.createDataFrame(rows, schemas.ENTRIES)
+
+
+def long_enough(found):
+    """The vocabulary's tokens that have a trigram of ASCII letters and digits."""
+    import re
+    return [x for x in found if re.search("[a-z0-9]{3}", x[0])]
+
+
+def test_segments_equal_a_fresh_build(spark, tmp_path):
+    store = CorpusStore(spark, str(tmp_path / "index"), buckets=2)
+    now = {}
+    steps = [(range(20), "first"), (range(5, 9), "second"), ([3, 40], "third"), ([3], "fourth"), (range(41, 44), "fifth"), ([5, 41], "sixth")]
+    for k, (ids, text) in enumerate(steps):
+        new = batch(spark, ids, next_seq(store), text)
+        now |= {r.uuid: r for r in new.collect()}
+        store.apply(new, merge=k > 3)
+        if k == 2:
+            store.delete(F.col("uuid").isin("u1", "u6"))
+            now = {u: r for u, r in now.items() if u not in ("u1", "u6")}
+    live = spark.createDataFrame(list(now.values()), schemas.ENTRIES)
+    assert sorted(store.entries().collect()) == sorted(live.collect())
+    want = model(live)
+    got = read(store)
+    assert got[0] == want[0] and got[1] == want[1] and got[2] == long_enough(want[2]) and got[3] == want[3]
+    assert len(store.state()[1]) < 4
+    found = lambda c: [r.uuid for r in substring.substring_search(c, "apple1.com cond", 30).collect()]
+    before = found(store.corpus())
+    assert before == [r.uuid for r in search.substring_search(live, "apple1.com cond", 30).collect()] and before
+    store.compact()
+    assert len(store.state()[1]) == 1 and store.state()[1][0].gone_rows == 0 and read(store) == got and found(store.corpus()) == before
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    sizes = []
+    for n in (50, 2000):
+        store = CorpusStore(spark, str(tmp_path / str(n)), buckets=2)
+        store.apply(batch(spark, range(n), 0, "base"))
+        store.apply(batch(spark, range(5), next_seq(store), "again"), merge=False)
+        name = store.state()[1][-1].name
+        sizes.append(sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(f"{store.root}/segments/{name}") for f in fs))
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_the_second_of_two_writers_starts_anew(spark, tmp_path, monkeypatch):
+    store, other = (CorpusStore(spark, str(tmp_path / "index"), buckets=2) for _ in range(2))
+    store.apply(batch(spark, range(4), 0, "base"))
+    claim = CorpusStore._claim
+    late = []
+
+    def meanwhile(self, no, segments):
+        if self is store and not late:
+            late.append(other.apply(batch(spark, [2], 10, "other"), merge=False))
+        return claim(self, no, segments)
+
+    monkeypatch.setattr(CorpusStore, "_claim", meanwhile)
+    store.apply(batch(spark, [2, 3], 20, "mine"), merge=False)
+    assert store.versions() == [1, 2, 3]
+    assert {r.uuid: r.ocr_text.split()[0] for r in store.entries().collect()} == {"u0": "base", "u1": "base", "u2": "mine", "u3": "mine"}
+
+
+def test_tiers():
+    seg = lambda n, gone=0: Segment("s", 0, n, 0, gone, 0, 0)
+    assert due([seg(1000), seg(1), seg(2), seg(1)]) == []
+    four = [seg(1000), seg(1), seg(2), seg(0, 1), seg(3)]
+    assert due(four) == four[1:]
+    assert len(due([seg(5000), seg(70), seg(70), seg(70), seg(80), seg(1)])) == 5
