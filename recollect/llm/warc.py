@@ -103,6 +103,12 @@ class Archives:
     root: str
     firsts: list[tuple[str, str]]
     files: list[str]
+    records: int
+
+
+def _parts(spark: SparkSession, records: int) -> int:
+    """Ranges of the index: a bounded number of records each, and enough of them for all cores; AQE would go by their few bytes."""
+    return max(1, -(-records // 20_000), min(2 * spark.sparkContext.defaultParallelism, -(-records // 500)))
 
 
 def write_records(pages: DataFrame, root: str, least: int, id_col: str, url_col: str, html_col: str, level: int) -> DataFrame:
@@ -143,9 +149,9 @@ def _page(page_id) -> str:
     return "" if page_id is None else str(page_id)
 
 
-def write_index(places: DataFrame, root: str, lines: int) -> list:
+def write_index(places: DataFrame, root: str, lines: int, parts: int) -> list:
     """Writes the index files; (first key, first page, file) of each, in order."""
-    ordered = places.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "file", "start")
+    ordered = places.repartitionByRange(parts, "key", "page").sortWithinPartitions("key", "page", "file", "start")
     target = pa.schema([("key", pa.string()), ("page", pa.string()), ("file", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +191,9 @@ def write(pages: DataFrame, root: str | None = None, least: int = 0, lines: int
     spark = pages.sparkSession
     root = root or f"{staging_root(spark)}/recollect/warc-{uuid.uuid4().hex}"
     places = stage(write_records(pages, root, least, id_col, url_col, html_col, level), "record-places")
-    index = write_index(places, root, lines)
-    return Archives(spark, root, [(r["key"], r["page"]) for r in index], [r["file"] for r in index])
+    records = places.count()
+    index = write_index(places, root, lines, _parts(spark, records))
+    return Archives(spark, root, [(r["key"], r["page"]) for r in index], [r["file"] for r in index], records)
 
 
 class _Index:
@@ -236,7 +243,7 @@ def lookup(archives: Archives, wanted: DataFrame, payloads: bool = True, id_col:
         return {"key": [url_key(u) for u in batch.column(0).to_pylist()], "page": [_page(p) for p in batch.column(1).to_pylist()]}
 
     asked = arrow_map(wanted.select(F.col(url_col).cast("string").alias("url"), F.col(id_col).cast("bigint").alias("page_id")), keys, "key string, page string")
-    ordered = asked.distinct().repartitionByRange("key", "page").sortWithinPartitions("key", "page")
+    ordered = asked.distinct().repartitionByRange(_parts(archives.spark, archives.records), "key", "page").sortWithinPartitions("key", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _filesystem(root)
