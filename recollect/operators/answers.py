@@ -32,6 +32,28 @@ def put(cache: DataFrame, rows: DataFrame, now: float) -> DataFrame:
     return kept.select(*cols).unionByName(rows.select(*cols))
 
 
+def recall(cache, key: str, now: float) -> "Answer | None":
+    """The answer that the cache holds under ``key``, if it isn't too old."""
+    if cache is None:
+        return None
+    if isinstance(cache, dict):
+        for k in [k for k, (at, _) in cache.items() if now - at > fixed.CACHE_TTL_S]:
+            del cache[k]
+        found = cache[key][1] if key in cache else None
+        return found and Answer(found.text, found.rows, found.route, found.model, found.question, found.summary, True)
+    row = cache.find(key, now)
+    return row and Answer(row["answer"], [tuple(r) for r in row["rows"]], row["route"], row["used_model"], row["question"], row["summary"], True)
+
+
+def remember(cache, key: str, answer: "Answer", now: float) -> None:
+    """Rows are kept as text, as in the stored table."""
+    if isinstance(cache, dict):
+        cache[key] = (now, answer)
+    elif cache is not None:
+        rows = [[None if v is None else str(v) for v in r] for r in answer.rows]
+        cache.keep((key, now, answer.text, rows, answer.model, answer.route, answer.question, answer.summary), now)
+
+
 @dataclass
 class Answer:
     text: str
@@ -50,9 +72,9 @@ def _flags(df: DataFrame, **flags: Column) -> dict:
 def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFAULT_TOP_K, large: str = "large",
                     small: str = "small", auto_route: bool = True, auto_correct: bool = True,
                     sort_by: str = retrieve.RELEVANT, restrict_finance: bool = True, user_synonyms=None,
-                    cache: dict | None = None, version: str = "1", index: str = "") -> Answer:
-    """Answer one question. ``chat(model, prompt)`` returns text or raises; ``cache`` maps keys to answers.
-    ``index`` names the corpus in the key, so that corpora can share a cache.
+                    cache=None, version: str = "1", index: str = "") -> Answer:
+    """Answer one question. ``chat(model, prompt)`` returns text or raises; ``cache`` is a stored ``AnswerCache``, or a
+    dict of this process. ``index`` names the corpus in the key, so that corpora can share a cache.
 
     The k records are small and meant for one reader, so they come to the driver; the search does not.
     """
@@ -61,17 +83,14 @@ def answer_question(corpus: Corpus, question: str, chat, top_k: int = fixed.DEFA
     if not q:
         return Answer(fixed.EMPTY_QUESTION, [], "")
     sort_by = sort_by if sort_by in (retrieve.RELEVANT, retrieve.RECENT) else retrieve.RELEVANT
-    key = "|".join([rewrite.norm(q), index, str(top_k), large, small, f"auto={int(auto_route)}", f"sort={sort_by}",
-                    f"rf={int(restrict_finance)}", f"v={version}"])
-    if cache is not None:
-        for k in [k for k, (at, _) in cache.items() if time.time() - at > fixed.CACHE_TTL_S]:
-            del cache[k]
-        if key in cache:
-            found = cache[key][1]
-            return Answer(found.text, found.rows, found.route, found.model, found.question, found.summary, True)
-
     one = spark.createDataFrame([(q,)], "q string")
-    kind = _flags(one, aggregate=rules.is_aggregate_finance("q"), route=rules.route("q", auto_route))
+    lit = F.lit
+    kind = _flags(one, aggregate=rules.is_aggregate_finance("q"), route=rules.route("q", auto_route), key=cache_key(
+        F.col("q"), lit(index), lit(top_k), lit(large), lit(small), lit(auto_route), lit(sort_by), lit(restrict_finance), lit(version)))
+    key = kind["key"]
+    found = recall(cache, key, time.time())
+    if found is not None:
+        return found
     k = retrieve.effective_k(q, top_k)
 
     kept: list[DataFrame] = []
@@ -140,8 +159,7 @@ def _answer(corpus, q, k, kind, kept, chat, key, cache, large, small, auto_route
     shown = present.preview(rows, "place")
     result = Answer(text, [tuple(r)[1:] for r in shown.orderBy("place").collect()], route, model, asked,
                     present.hit_summary(shown).first()["summary"])
-    if cache is not None:
-        cache[key] = (time.time(), result)
+    remember(cache, key, result, time.time())
     return result
 
 

@@ -114,6 +114,30 @@ NAME = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE lower(c_name)
 ORACLE["term_vocab_newest"] = sql(
     """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
          '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM (SELECT * FROM entries ORDER BY ingested_at DESC, seq LIMIT 5000)""", "entries")
+# blocks of a pair, part by part: the longest common block (k, first in the token, then in the word), then what is left of it and right of it
+ORACLE["typo_suggest"] = sql(
+    """SELECT qid, md5(question) AS question_md5, CASE WHEN bool_or(token IS NOT NULL) THEN string_agg(coalesce(token, w), ' ' ORDER BY i) ELSE any_value(question) END AS suggestion
+       FROM split LEFT JOIN best ON best.word = lower(w) GROUP BY qid, question""", "questions", "entries",
+    typed="""SELECT qid, regexp_replace(question, '(^| )([A-Za-z]{4})([a-z])([a-z])', '\\1\\2\\4\\3', 'g') AS question FROM questions""",
+    split=f"""SELECT qid, question, unnest(l) AS w, unnest(range(len(l))) AS i FROM (
+                SELECT qid, question, string_split({o.strip(f"regexp_replace(coalesce(question, ''), {q(o.WS_CLASS + '+')}, ' ', 'g')")}, ' ') AS l FROM typed)""",
+    vocab=VOCAB,
+    words="""SELECT DISTINCT lower(w) AS word FROM split WHERE length(w) >= 4 AND octet_length(encode(lower(w))) = length(lower(w)) AND lower(w) NOT IN (SELECT token FROM vocab)""",
+    pairs="""SELECT word, token, length(word) AS lb, length(token) AS la FROM words JOIN vocab ON length(token) <= 1.33 * length(word) AND length(word) <= 1.33 * length(token)
+               AND levenshtein(word, token) <= 0.14 * (length(word) + length(token)) + 1e-9""",
+    blocks="""WITH RECURSIVE r AS (
+                SELECT word, token, 0 AS k, {'a': 0, 'b': la, 'c': 0, 'd': lb} AS p FROM pairs
+                UNION ALL
+                SELECT word, token, k, unnest(list_filter([{'a': p.a, 'b': i, 'c': p.c, 'd': j}, {'a': i + k, 'b': p.b, 'c': j + k, 'd': p.d}, {'a': -1, 'b': 0, 'c': 0, 'd': 0}],
+                       lambda x: x.a < 0 OR (k > 0 AND x.a < x.b AND x.c < x.d))) FROM (
+                  SELECT word, token, p, k, i, p.c + strpos(inner_part, substr(token, i + 1, k)) - 1 AS j FROM (
+                    SELECT word, token, p, inner_part, CAST(ceil(best / 1000000.0) AS INT) AS k, CAST(1000000 * ceil(best / 1000000.0) - best AS INT) AS i FROM (
+                      SELECT word, token, p, inner_part, coalesce(list_max(flatten(list_transform(range(p.a, p.b), lambda i: list_transform(range(1, least(p.b - i, p.d - p.c) + 1),
+                             lambda k: CASE WHEN contains(inner_part, substr(token, CAST(i + 1 AS BIGINT), k)) THEN 1000000 * k - i END)))), 0) AS best
+                      FROM (SELECT word, token, p, substr(word, p.c + 1, p.d - p.c) AS inner_part FROM r WHERE p.a >= 0)))))
+              SELECT word, token, CAST(sum(k) AS BIGINT) AS matched FROM r WHERE p.a < 0 GROUP BY word, token""",
+    best="""SELECT word, token FROM blocks WHERE 2.0::DOUBLE * matched / (length(word) + length(token)) >= 0.86
+            QUALIFY row_number() OVER (PARTITION BY word ORDER BY 2.0::DOUBLE * matched / (length(word) + length(token)) DESC, token DESC) = 1""")
 NAME = "CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE lower(c_name) END"
 ORACLE["alias_upsert"] = f"""
   WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS seg, lower(c_name) AS nm, c_custkey % 2 = 0 AS old, c_name FROM customer)

@@ -304,7 +304,7 @@ def term_vocab_newest(spark, d) -> DataFrame:
 
 def _typed(spark, d) -> DataFrame:
     """Questions with two letters swapped in their words, as typed in haste."""
-    swap = F.regexp_replace("question", r"\b([A-Za-z]{4})([a-z])([a-z])", "$1$3$2")
+    swap = F.regexp_replace("question", "(^| )([A-Za-z]{4})([a-z])([a-z])", "$1$2$4$3")
     return C.questions(spark, d).select("qid", swap.alias("question"))
 
 

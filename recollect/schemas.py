@@ -50,3 +50,6 @@ ANSWER_CACHE = T.StructType([
     T.StructField("used_model", T.StringType()),
     T.StructField("route", T.StringType()),
 ])
+
+#: What the flow stores: a cached answer with the question it was read as and the summary of its hits.
+ANSWERS = T.StructType([*ANSWER_CACHE.fields, T.StructField("question", T.StringType()), T.StructField("summary", T.StringType())])

@@ -7,10 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import fixed
-from recollect.functions import dates, rules
+from recollect.functions import dates, fuzzy, rules
 from recollect.functions.text import ascii_lower, search_lower, strip
 from recollect.operators import answers, index, ingest, maintain, rewrite
-from recollect.sources import corpus as C
+from recollect.sources import cache as stored_answers, corpus as C
+from recollect.sources.cache import AnswerCache
 
 
 def column(spark, values, make, kind="string"):
@@ -118,6 +119,21 @@ def test_close_matches_equal_difflib(spark, cutoff):
     assert got == want
 
 
+def test_ratio_equals_difflib(spark):
+    r = random.Random(5)
+    word = lambda n, letters="abcdeno": "".join(r.choice(letters) for _ in range(n))
+    pairs = [("", ""), ("a", ""), ("", "b"), ("tide", "diet"), ("diet", "tide"), ("aaaa", "aa")] + [(word(r.randint(0, 12)), word(r.randint(0, 12))) for _ in range(300)]
+    for _ in range(4):   # from 200 letters on, frequent letters begin no block
+        a = word(210, "abcdefghijklmnopqrstuvwxyz0123456789")
+        b = list(a)
+        for _ in range(20):
+            b[r.randrange(len(b))] = r.choice("abcxyz")
+        pairs += [(a, "".join(b)), (word(30) + "qz" + word(10), word(210) + "qz" + word(3))]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for x in df.select("a", "b", fuzzy.ratio(F.col("a"), F.col("b")).alias("r")).collect():
+        assert abs(x.r - difflib.SequenceMatcher(None, x.a, x.b).ratio()) < 1e-12
+
+
 def test_suggest(spark):
     vocab = spark.createDataFrame([("netflix",), ("charge",), ("subscription",)], "token string")
     df = spark.createDataFrame([(1, "my  Netflixx chargee"), (2, "two  words"), (3, "")], "qid int, question string")
@@ -148,7 +164,7 @@ def test_upsert_is_idempotent(spark):
     assert maintain.prune(maintain.prune(e)).count() == maintain.prune(e).count()
 
 
-def test_answering(spark):
+def test_answering(spark, tmp_path):
     from conftest import SF
     c = index.staged_index(C.entries(spark, SF))
     prompts, cache = [], {}
@@ -160,6 +176,11 @@ def test_answering(spark):
     assert (a.route, a.model, len(a.rows)) == ("small_first_factual->large_retry", "large", 15)
     assert "Question: what did netflix charge" in prompts[0][1] and a.summary.startswith("### Search hits")
     assert answers.answer_question(c, " What did  netflix charge ", chat, cache=cache).cached
+    stored = AnswerCache(spark, str(tmp_path / "answers"))
+    first = answers.answer_question(c, "what did netflix charge", chat, cache=stored)
+    again = answers.answer_question(c, " What did  netflix charge ", chat, cache=AnswerCache(spark, str(tmp_path / "answers")))
+    assert not first.cached and again.cached and (again.text, again.route, again.summary, len(again.rows)) == (first.text, first.route, first.summary, len(first.rows))
+    assert not answers.answer_question(c, "what did netflix charge", chat, cache=stored, top_k=3).cached
     none = answers.answer_question(c, "", chat)
     assert none.text == fixed.EMPTY_QUESTION
 
@@ -170,3 +191,15 @@ def test_answering(spark):
     def failing(model, prompt):
         raise RuntimeError("down")
     assert "failed" in answers.recheck(c, "capital one charge", failing).text
+
+
+def test_stored_answers_are_rewritten_without_old_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_answers, "FILES", 4)
+    cache = AnswerCache(spark, str(tmp_path / "a"))
+    row = lambda key, at, text="t": (key, at, text, [["1", None]], "m", "r", "q", "s")
+    assert cache.find("k", 0.0) is None
+    for key, at in (("old", 1.0), ("k", 90_000.0), ("k", 90_001.0), ("l", 90_002.0), ("m", 90_003.0)):
+        cache.keep(row(key, at), 90_003.0)
+    assert cache.find("old", 90_003.0) is None and cache.find("k", 90_003.0)["cached_at_unix"] == 90_001.0
+    assert cache.find("m", 90_003.0)["rows"] == [["1", None]] and cache._generations() == [2]
+    assert cache.find("k", 90_002.0 + 86_400) is None
