@@ -1,6 +1,6 @@
 """The lexical index as tables: postings and corpus statistics."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,6 +25,7 @@ class Corpus:
     grams: DataFrame | None = None
     symbols: DataFrame | None = None
     words: DataFrame | None = None                            # the vocabulary of the spelling help, if it is stored
+    places: DataFrame | None = None                           # of tokens, for phrases; without it texts are read
     memo: dict = field(default_factory=dict, compare=False)   # small things read once
 
 
@@ -90,6 +91,24 @@ def staged_postings(entries: DataFrame, name: str = "corpus", partitions: int |
     return sort_postings(counted.join(terms, "raw").select(*schemas.POSTINGS.fieldNames()), partitions)
 
 
+def token_places(entries: DataFrame, terms: DataFrame, partitions: int | None = None) -> DataFrame:
+    """term, seq, p: where each token stands in its entry; sorted, so that places and entries are stored as small differences.
+
+    ``terms`` has the term of every ``raw`` token; a frequent token splits in the join.
+    """
+    from recollect.operators.ingest import index_doc
+    rows = entries.select("seq", F.posexplode(runs(index_doc())).alias("p", "token")).select("seq", "p", search_lower("token").alias("raw"))
+    rows = rows.join(terms, "raw").select("term", "seq", "p")
+    keys = ["term", "seq", "p"]
+    return (rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)).sortWithinPartitions(*keys)
+
+
+def with_places(corpus: Corpus, name: str = "corpus") -> Corpus:
+    """``corpus`` with the places of tokens, staged."""
+    terms = stage(corpus.postings.select("raw", "term").distinct(), f"{name}-terms")
+    return replace(corpus, places=stage(token_places(corpus.entries, terms), f"{name}-places"))
+
+
 def staged_index(entries: DataFrame, name: str = "corpus") -> Corpus:
     """An index written to the shared staging folder: entries once, postings sorted by term."""
     kept = stage(entries.select(*schemas.ENTRY_COLS), f"{name}-entries")

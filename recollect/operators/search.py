@@ -29,23 +29,28 @@ def sized_join(big: DataFrame, small: DataFrame, key: str | list[str], rows: int
 
 
 def _phrase_occurrences(corpus: Corpus, phrase: tuple[str, ...]) -> DataFrame:
-    """seq, tf of a phrase of several terms. Only entries that hold every term are read again.
+    """seq, tf of a phrase of several terms.
 
-    A term at position p that is the j-th of the phrase votes for a start at
-    p - j; a start with all votes is an occurrence.
+    A term at place p that is the j-th of the phrase votes for a start at p - j; a start with all votes is an
+    occurrence. Votes come from the stored places of tokens, or else from the texts of entries that hold every term.
     """
     last = len(phrase) - 1
     match = lambda j: F.col("term").startswith(phrase[j]) if j == last else F.col("term") == phrase[j]
+    tokens = corpus.places.where(any_of([match(j) for j in range(last + 1)])) if corpus.places is not None else _read_places(corpus, match, last)
+    votes = tokens.select("seq", "p", F.explode(F.filter(F.array(
+        *[F.when(match(j), F.lit(j)) for j in range(last + 1)]), lambda j: j.isNotNull())).alias("j"))
+    starts = votes.groupBy("seq", (F.col("p") - F.col("j")).alias("start")).agg(F.count("*").alias("v"))
+    return starts.where(F.col("v") == last + 1).groupBy("seq").agg(F.count("*").alias("tf"))
+
+
+def _read_places(corpus: Corpus, match, last: int) -> DataFrame:
+    """term, seq, p of all tokens of the entries that hold every term."""
     held = corpus.postings.where(any_of([match(j) for j in range(last + 1)])).groupBy("seq").agg(
         *[F.max(match(j)).alias(f"h{j}") for j in range(last + 1)])
     for j in range(last + 1):
         held = held.where(F.col(f"h{j}"))
     texts = corpus.entries.join(held.select("seq"), "seq", "left_semi")
-    tokens = with_term(texts.select("seq", F.posexplode(runs(index_doc())).alias("p", "raw")))
-    votes = tokens.select("seq", "p", F.explode(F.filter(F.array(
-        *[F.when(match(j), F.lit(j)) for j in range(last + 1)]), lambda j: j.isNotNull())).alias("j"))
-    starts = votes.groupBy("seq", (F.col("p") - F.col("j")).alias("start")).agg(F.count("*").alias("v"))
-    return starts.where(F.col("v") == last + 1).groupBy("seq").agg(F.count("*").alias("tf"))
+    return with_term(texts.select("seq", F.posexplode(runs(index_doc())).alias("p", "raw")))
 
 
 @dataclass(frozen=True)

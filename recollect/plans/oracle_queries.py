@@ -170,6 +170,25 @@ def topk(prefixes, k, more="", over=None):
 
 ORACLE["fts_search_topk"] = topk(["capit", "charg", "nytim"], 25, "filename,")
 ORACLE["fts_search_common_words"] = topk(["sourc", "messag", "direct"], 40)
+# places of tokens in the whole entry; a phrase stands in for a term
+PLACES = f"""SELECT seq, p, term FROM (
+    SELECT seq, lower(unnest(l)) AS raw, unnest(range(len(l))) AS p FROM (
+      SELECT seq, regexp_extract_all(filename || {NL} || coalesce(date_iso, '') || {NL} || coalesce(ocr_text, '') || {NL} || coalesce(vlm_text, ''), '{o.RUN}') AS l FROM entries))
+    JOIN stems USING (raw)"""
+
+
+def phrases(pairs, k, over=None):
+    """The best k for phrases of two terms, each named after its place."""
+    rows = " UNION ALL ".join(f"""SELECT 'phrase{i}' AS term, x.seq, count(*) AS tf, max(doc_len) AS doc_len FROM placed x JOIN placed y ON y.seq = x.seq AND y.p = x.p + 1
+        JOIN (SELECT seq, max(doc_len) AS doc_len FROM counted GROUP BY seq) n ON n.seq = x.seq WHERE x.term = '{a}' AND starts_with(y.term, '{b}') GROUP BY x.seq"""
+                              for i, (a, b) in enumerate(pairs))
+    named = [f"phrase{i}" for i in range(len(pairs))]
+    return sql(f"""SELECT CAST(pos AS INT) AS pos, uuid, round(rank, 6) AS rank FROM ({o.ranked_pass(1, named, k).replace("FROM postings", f"FROM ({rows})")})
+                   JOIN entries USING (seq)""", "stems", "stats", "entries", over=over, placed=PLACES)
+
+
+ORACLE["fts_phrases"] = phrases([("rel", "path"), ("sourc", "drop")], 40)
+ORACLE["token_places"] = sql("SELECT term, count(*) AS n, CAST(sum(p) AS BIGINT) AS places FROM placed GROUP BY term", "stems", "entries", placed=PLACES)
 SUBSTRING = f"""SELECT uuid, filename, date_iso, CAST(0 AS DOUBLE) AS rank FROM entries WHERE {like_any(['with', 'zueinen'])}
         ORDER BY {o.RECENCY} LIMIT 25"""
 ORACLE["substring_search"] = sql(SUBSTRING, "entries")
@@ -383,3 +402,4 @@ ORACLE["segments_vocabulary"] = sql(VOCAB, "entries", over=LEFT)
 ORACLE["segments_grams"] = sql(GRAMS, "postings", over=LEFT)
 ORACLE["segments_search"] = topk(["capit", "charg", "nytim"], 25, "filename,", LEFT)
 ORACLE["segments_substring_search"] = sql(SUBSTRING, "entries", over=LEFT)
+ORACLE["segments_phrases"] = phrases([("rel", "path"), ("sourc", "drop")], 40, LEFT)

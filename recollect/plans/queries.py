@@ -32,7 +32,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> index.Corpus:
     """Entries and index of a data set, written once per application to the shared staging folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        _STAGED[key] = substring.indexed(index.staged_index(C.entries(spark, sf_dir)))
+        _STAGED[key] = index.with_places(substring.indexed(index.staged_index(C.entries(spark, sf_dir))))
     return _STAGED[key]
 
 
@@ -383,6 +383,22 @@ def fts_search_common_words(spark, d) -> DataFrame:
     return search.search(corpus(spark, d), "source messages direction", 40).select("pos", "uuid", F.round("rank", 6).alias("rank"))
 
 
+@query
+def fts_phrases(spark, d) -> DataFrame:
+    """Words with an underscore are phrases, the last part of which is a prefix."""
+    return search.search(corpus(spark, d), "rel_path source_drop", 40).select("pos", "uuid", F.round("rank", 6).alias("rank"))
+
+
+@query
+def segments_phrases(spark, d) -> DataFrame:
+    return search.search(segments(spark, d), "rel_path source_drop", 40).select("pos", "uuid", F.round("rank", 6).alias("rank"))
+
+
+@query
+def token_places(spark, d) -> DataFrame:
+    return corpus(spark, d).places.groupBy("term").agg(F.count("*").alias("n"), F.sum("p").alias("places"))
+
+
 @query
 def substring_search(spark, d) -> DataFrame:
     return substring.substring_search(corpus(spark, d), SUBSTRINGS, 25).select("uuid", "filename", "date_iso", "rank")

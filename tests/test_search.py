@@ -49,8 +49,15 @@ def both(spark):
 
 @pytest.fixture(scope="module")
 def quick(both):
-    """The same corpus with the tables of the substring search."""
-    return substring.indexed(both[2], "t")
+    """The same corpus with the tables of the substring search and the places of tokens."""
+    return index.with_places(substring.indexed(both[2], "t"), "t")
+
+
+@pytest.mark.parametrize("question", ["foo_bar", "a_b_c", "foo_ba sky", "foo_bar foo_bar a_b", "bar_foo", "2024_01_05"])
+def test_phrases_from_places_equal_phrases_from_texts(both, quick, question):
+    want = [(r.uuid, r.rank) for r in search.search(both[2], question, 30).collect()]
+    assert [(r.uuid, r.rank) for r in search.search(quick, question, 30).collect()] == want
+    assert want or question in ("bar_foo", "2024_01_05")
 
 
 def test_postings_equal_the_lexical_index(both):
