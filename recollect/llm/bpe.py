@@ -20,7 +20,7 @@ PLAIN_PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LATIN}]+| ?[0-9]+| ?[^\t\n\r {LATIN
 NOT_PLAIN = rf"[^\t\n\r\x20-\x7e{LATIN}]"
 
 #: Pieces kept by a worker at most; beyond that its table is emptied and filled anew.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
