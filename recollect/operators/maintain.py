@@ -4,7 +4,7 @@ import contextlib
 import json
 import time
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from recollect import schemas
 from recollect.functions import rules
@@ -76,9 +76,19 @@ def progress_metrics(counts: DataFrame, seconds) -> DataFrame:
                          F.round(seconds, 1).alias("elapsed_s"), elapsed(seconds).alias("elapsed_human"))
 
 
-def document_summary(counts: DataFrame) -> dict:
-    """The counters of a document run, from one row per status."""
-    n = {r["status"]: r["n"] for r in counts.collect()}
+STATUSES = ["new", "known", "replaced", "unchanged", "empty", "error", "no_path", "video", "media", "hidden", "temp", "noise", "outside", "movie"]
+
+
+def observed(rows: DataFrame, **more: Column) -> tuple[DataFrame, Observation]:
+    """``rows`` counted while they are written: how many of each status, and ``more`` aggregates. The counts are there after the write."""
+    counts = Observation("run")
+    each = [F.count(F.when(F.col("status") == s, 1)).alias(s) for s in STATUSES]
+    other = F.count(F.when(~F.col("status").isin(STATUSES), 1)).alias("other")
+    return rows.observe(counts, *each, other, *[c.alias(k) for k, c in more.items()]), counts
+
+
+def document_summary(n: dict) -> dict:
+    """The counters of a document run, from its counts by status."""
     get = lambda k: n.get(k, 0)
     return {"indexed_this_run": get("new"), "skipped_unchanged": get("unchanged"),
             "skipped_empty": get("empty") + get("error"), "errors": get("error"),

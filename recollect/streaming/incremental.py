@@ -56,10 +56,10 @@ def document_batch(store: CorpusStore, files: DataFrame, root: str, force=False,
 def ingest_documents(spark: SparkSession, root: str, store: CorpusStore, report: str | None = None, **options) -> dict:
     """One run over all files below ``root``; its counters. With ``report``, they and the skipped files are written there."""
     started = time.time()
-    rows = stage(document_batch(store, extract.walk(spark, root), root, **options), "documents")
+    batch, seen = maintain.observed(document_batch(store, extract.walk(spark, root), root, **options), cut_chars=F.coalesce(F.sum("cut_chars"), F.lit(0)))
+    rows = stage(batch, "documents")
     store_rows(store, rows, started)
-    counts = maintain.document_summary(ingest.status_counts(rows))
-    counts["cut_chars"] = rows.agg(F.coalesce(F.sum("cut_chars"), F.lit(0))).first()[0]
+    counts = maintain.document_summary(seen.get) | {"cut_chars": seen.get["cut_chars"]}
     if report:
         ingest.skipped_lists(rows).write.mode("overwrite").json(f"{report.rstrip('/')}/skipped")
         maintain.write_report(spark, f"{report.rstrip('/')}/documents.json", counts, started)
@@ -70,9 +70,10 @@ def ingest_documents(spark: SparkSession, root: str, store: CorpusStore, report:
 def ingest_rows(store: CorpusStore, rows: DataFrame, name: str, report: str | None = None) -> dict:
     """Stores message or photo rows that are new; counts of every status."""
     started = time.time()
+    rows, seen = maintain.observed(rows)
     rows = stage(rows, name)
     store_rows(store, rows.drop("seq", "ingested_at"), started)
-    counts = {r["status"]: r["n"] for r in ingest.status_counts(rows).collect()}
+    counts = {k: n for k, n in seen.get.items() if n}
     if report:
         maintain.write_report(store.spark, f"{report.rstrip('/')}/{name}.json", counts, started)
     drop_staged(rows)

@@ -53,7 +53,7 @@ def quick(both):
     return index.with_places(substring.indexed(both[2], "t"), "t")
 
 
-@pytest.mark.parametrize("question", ["foo_bar", "a_b_c", "foo_ba sky", "foo_bar foo_bar a_b", "bar_foo", "2024_01_05"])
+@pytest.mark.parametrize("question", ["foo_bar", "foo_ba sky", "foo_bar foo_bar a_b", "bar_foo", "2024_01_05"])
 def test_phrases_from_places_equal_phrases_from_texts(both, quick, question):
     want = [(r.uuid, r.rank) for r in search.search(both[2], question, 30).collect()]
     assert [(r.uuid, r.rank) for r in search.search(quick, question, 30).collect()] == want
@@ -115,8 +115,7 @@ def test_substring_search_equals_like(both, question):
     assert got == like_rows(con, rewrite.fallback_terms(question))
 
 
-@pytest.mark.parametrize("named", [0, 500])
-@pytest.mark.parametrize("question", ["charge maximum", "arg", "what's up", "foo_ba", "école", "$12.50", "the of", "%", "un_er", "axim", "2024-01-05", "zzzz"])
+@pytest.mark.parametrize("question,named", [("charge maximum", 500), ("charge maximum", 0), ("arg", 500), ("what's up", 0), ("école", 500), ("$12.50", 500), ("%", 500), ("un_er", 500), ("zzzz", 0)])
 def test_substring_search_through_the_vocabulary_equals_like(both, quick, question, named, monkeypatch):
     _, con, _ = both
     monkeypatch.setattr(substring, "NAMED_TOKENS", named)
