@@ -7,18 +7,19 @@ least ``least`` that passes the base rules is kept: the verdict depends on count
 
 Counting explodes words in one pass with partial sums, so at most ``buckets`` rows leave a task. The table of ratios has
 ``buckets`` entries and reaches the scoring pass as one array from a scalar subquery; scoring is a narrow pass without
-a shuffle. The ids of trusted documents are broadcast, so that texts never move; more of them than a parameter are dealt
-by a hash into several passes, and each pass counts the documents whose ids have that hash, so every document counts once.
+a shuffle. The ids of trusted documents are broadcast, so that texts never move. If there are more of them than a parameter
+allows, the raw counts take one narrow pass, and a second one sends the n-grams of trusted documents to their ids: a Bloom
+filter of bounded size keeps nearly all other documents from the shuffle. The texts are then read twice for the counts,
+however many ids there are; rows with one id are dealt in turn into several parts, so no id is one task. Both ways count the same.
 
 Defined cases: a null text has no words and fails; rows with equal ids are judged each by itself, and all are trusted if
 one label says so; a null label or an empty table of labels trusts nothing, and then every score is 0; a text with one
 word has one n-gram; other columns are ignored.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recollect.llm import exact
 from recollect.llm.frames import stage_narrow
 from recollect.llm.secret_scan import let
 
@@ -26,6 +27,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
 #: Least mean log-likelihood ratio of a document that is kept.
 LEAST = -0.12
+#: Of the filter of trusted ids: cells an id, and the most rows of 4 KB (128 MB).
+CELLS_PER_ID, MOST_CELLS = 16, 1 << 15
+#: Parts into which the rows of one id are dealt.
+SALTS = 8
 
 
 def words_of(text: Column) -> Column:
@@ -72,22 +77,34 @@ def counts(texts: DataFrame, buckets: int) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
 
 
+def id_filter(ids: DataFrame, cells: int) -> DataFrame:
+    """(bucket, bitmap): the cells that the ids hit, in ``cells`` rows of 4 KB."""
+    hit = ids.select(exact._bucket(F.col("doc_id"), cells).alias("bucket"), F.explode(F.array(*exact._bits(F.col("doc_id")))).alias("bit"))
+    return hit.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+
+def shuffled_counts(texts: DataFrame, ids: DataFrame, n_ids: int, buckets: int) -> DataFrame:
+    """``counts`` for any number of trusted ids: only the n-grams of documents that the filter lets pass are shuffled."""
+    raw = counts(texts.select("text", F.lit(False).alias("trusted")), buckets)
+    cells = min(MOST_CELLS, -(-n_ids * CELLS_PER_ID // exact.BITS))
+    found = stage_narrow(id_filter(ids, cells), "trusted-ids")
+    possible = exact.mark(texts.where("doc_id IS NOT NULL").withColumn("digest", F.col("doc_id")), found, cells).where("possible")
+    grams = possible.select("doc_id", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), ngram_buckets(F.col("text"), buckets).alias("grams"))
+    salted = ids.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    trusted = grams.join(salted.hint("merge"), ["doc_id", "salt"], "left_semi").select(F.explode("grams").alias("bucket"))
+    return raw.unionByName(trusted.groupBy("bucket").agg(F.lit(0).cast("bigint").alias("r"), F.count("*").alias("t")))
+
+
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int, id_col: str, text_col: str, smooth: float, trusted_rows: int) -> DataFrame:
     """One row with the array of log ratios by bucket; smoothing adds ``smooth`` of the raw shares to the target's counts."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     named = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    passes = max(1, -(-named.count() // trusted_rows))
-
-    def counted(texts: DataFrame, trusted: DataFrame) -> DataFrame:
-        marked = texts.join(F.broadcast(trusted.withColumn("_trusted", F.lit(True))), "doc_id", "left")
-        return counts(marked.select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted")), buckets)
-
-    if passes == 1:
-        found = counted(texts, named)
-    else:  # one after the other, so that one pass's ids are held at a time
-        mine = lambda k: F.pmod(F.xxhash64("doc_id"), F.lit(passes)) == k
-        tables = [stage_narrow(counted(texts.where(mine(k)), named.where(mine(k))), "quality-counts") for k in range(passes)]
-        found = reduce(DataFrame.unionByName, tables)
+    n_ids = named.count()
+    if n_ids <= trusted_rows:
+        marked = texts.join(F.broadcast(named.withColumn("_trusted", F.lit(True))), "doc_id", "left")
+        found = counts(marked.select("text", F.coalesce("_trusted", F.lit(False)).alias("trusted")), buckets)
+    else:
+        found = shuffled_counts(texts, named, n_ids, buckets)
     spare = texts.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("r"), F.lit(0).alias("t"))
     both = found.unionByName(spare).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
     listed = both.agg(F.array_sort(F.collect_list(F.struct("bucket", "r", "t"))).alias("x"), F.sum("r").alias("rs"), F.sum("t").alias("ts"))
@@ -101,7 +118,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           buckets: int = BUCKETS, smooth: float = 1.0, trusted_rows: int = 200_000) -> DataFrame:
     """doc_id, the base rules' figures, base_failed, score and kept of every row.
 
-    The target is fitted on all labelled documents; a pass over the texts broadcasts the ids of about ``trusted_rows`` of them.
+    The target is fitted on all labelled documents; their ids are broadcast if there are at most ``trusted_rows`` of them.
     """
     table = ratios(docs, labels, buckets, id_col, text_col, smooth, trusted_rows).scalar()
     score = lambda b: F.aggregate(b["b"], F.lit(0.0), lambda s, i: s + F.get(b["r"], i)) / F.size(b["b"])

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recollect.llm import decontaminate, language, neardup, packing, quality, repeats, secret_scan, tokens
@@ -383,3 +384,14 @@ def test_all_trusted_documents_count_at_any_size_of_broadcast(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)] + [(3, 1), (5, 0), (None, 1)], "doc_id bigint, quality int")
     judged = lambda **options: [(r["doc_id"], round(r["score"] or 0, 12), r["kept"]) for r in quality.judge(documents(spark, rows), labels, **options).collect()]
     assert judged(trusted_rows=4) == judged()
+    assert quality.judge(documents(spark, []), labels, trusted_rows=4).collect() == []
+
+
+def test_a_trusted_id_of_many_rows_counts_each_row_once(spark):
+    rows = [(7, prose(i % 3, 60)) for i in range(60)] + [(i, prose(100 + i, 60)) for i in range(40)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40)], "doc_id bigint, quality int")
+    texts = documents(spark, rows).select("doc_id", "text")
+    ids = labels.where("doc_id % 2 = 1").select("doc_id")
+    found = quality.shuffled_counts(texts, ids, 20, 512).groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    plain = quality.counts(texts.select("text", (F.col("doc_id") % 2 == 1).alias("trusted")), 512)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
