@@ -107,6 +107,18 @@ def expansion(user: dict) -> str:
 
 ORACLE["synonym_expand"] = expansion({})
 ORACLE["synonym_expand_user"] = expansion({"uber": ["cab ride"], "texts": ["texts", "chat"]})
+ORACLE["synonym_expand_table"] = sql(
+    """SELECT qid, CAST(pos AS INT) AS pos, expansion FROM (
+         SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY kind, ord) - 1 AS pos, expansion FROM firsts) WHERE pos < 6""",
+    "questions",
+    pairs="""SELECT DISTINCT user_id AS ord, 'user.' || user_id AS present, 'account ' || user_id AS target FROM events
+      UNION ALL SELECT -1 - min(event_id), event_type, 'some ' || event_type FROM events GROUP BY event_type""",
+    base=f"SELECT qid, {o.strip('question')} AS b, {normalize('question')} AS n FROM questions",
+    every="""SELECT qid, 0 AS kind, 0 AS ord, b AS expansion FROM base
+      UNION ALL SELECT qid, 1, ord, regexp_replace(b, replace(present, '.', '[.]'), target, 'gi') FROM base JOIN pairs ON contains(n, present) WHERE b <> ''
+      UNION ALL SELECT qid, 2, 0, b || ' new york times' FROM base
+         WHERE len(list_filter(regexp_extract_all(b, '[A-Za-z][A-Za-z0-9''.-]+'), lambda t: lower(t) = 'nyt')) > 0""",
+    firsts=f"SELECT qid, min((kind, ord))[1] AS kind, min((kind, ord))[2] AS ord, arg_min(expansion, (kind, ord)) AS expansion FROM every GROUP BY qid, {normalize('expansion')}")
 VOCAB = """SELECT DISTINCT lower(unnest(regexp_extract_all(concat_ws(' ', filename, coalesce(ocr_text, ''), coalesce(vlm_text, '')),
          '[A-Za-z][A-Za-z0-9''-]{2,}'))) AS token FROM entries"""
 ORACLE["term_vocab"] = sql(VOCAB, "entries")

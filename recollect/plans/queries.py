@@ -292,6 +292,21 @@ def synonym_expand_user(spark, d) -> DataFrame:
     return out.select("qid", F.posexplode_outer("expansions").alias("pos", "expansion"))
 
 
+def _event_aliases(spark, d) -> DataFrame:
+    """Other names of the users and of the event types that the events hold."""
+    events = table(spark, d, "events")
+    users = events.selectExpr("user_id AS ord", "concat('user.', user_id) AS present", "concat('account ', user_id) AS target").distinct()
+    types = events.groupBy("event_type").agg((-1 - F.min("event_id")).alias("ord")).selectExpr("ord", "event_type AS present", "concat('some ', event_type) AS target")
+    return users.unionByName(types)
+
+
+@query
+def synonym_expand_table(spark, d) -> DataFrame:
+    """With a table of aliases that grows with the data."""
+    out = rewrite.expand_by(C.questions(spark, d), _event_aliases(spark, d), limit=fixed.MAX_EXPANSIONS)
+    return out.select("qid", F.posexplode_outer("expansions").alias("pos", "expansion"))
+
+
 @query
 def term_vocab(spark, d) -> DataFrame:
     return rewrite.term_vocab(corpus(spark, d).entries)

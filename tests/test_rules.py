@@ -96,6 +96,19 @@ def test_expand_table_equals_expand(spark):
     assert got == [rewrite.expand(v, user) for v in qs]
 
 
+def test_expand_by_a_table_equals_expand(spark):
+    qs = ["NYT bill", "HBO max texts", "  ", "lyft ride", "apple.com charge", "net  flix show", "uber price of the year", "a $5 fee", "x", "", "lyft lyft LYFT café"]
+    user = {"lyft": ["cab (shared)", "café"], "year": ["year", "12$ months", r"a\1b"], "a $5 fee": ["_fee_"]}
+    pairs = [(i, a, b) for i, (a, b) in enumerate(rewrite.synonym_pairs(user))] + [(999, " ", "x"), (998, "absent", "y")]
+    questions = spark.createDataFrame([(i, v, "kept") for i, v in enumerate(qs)] + [(99, None, "kept")], "qid int, question string, ord string")
+    aliases = spark.createDataFrame(pairs, "ord bigint, present string, target string")
+    rows = rewrite.expand_by(questions, aliases).orderBy("qid").collect()
+    assert [r.expansions for r in rows] == [rewrite.expand(v, user) for v in qs] + [[""]] and {r["ord"] for r in rows} == {"kept"}
+    none = rewrite.expand_by(questions, aliases.where("false"), limit=1).orderBy("qid").collect()
+    assert [r.expansions for r in none] == [[v.strip()] for v in qs] + [[""]]
+    assert rewrite.expand_by(questions.where("false"), aliases).collect() == []
+
+
 def test_synonym_files(tmp_path):
     f = tmp_path / "s.json"
     f.write_text('{"_x": ["A"], "Uber": [" Cab ", "uber", ""], "n": "no", "e": [" "]}')
