@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from recollect import fixed, schemas
 from recollect.functions import rules
-from recollect.functions.text import any_of, contains_any
+from recollect.functions.text import contains_any
 from recollect.operators import rewrite, substring
 from recollect.operators.index import Corpus, bucket_of
-from recollect.operators.search import (has_term, is_message, keep_first, lowered, money_text, recency,
-                                        search_hits, sized_join, sweep_condition, sweep_limit)
+from recollect.operators.search import is_message, money_text, search_hits, sized_join, sweep_limit
 
 RELEVANT, RECENT = "Most Relevant", "Most Recent"
 
@@ -81,11 +80,9 @@ def _rank_passes(plan: Plan, variants: list[str]) -> int:
 def hits(corpus: Corpus, plan: Plan, features: dict | None = None) -> DataFrame:
     """seq, uuid, date_iso, ingested_at, pass_no, pos, rank and features of every entry a pass finds.
 
-    With a substring index the passes find their newest entries through it, and only these entries are read; the rows
-    have at most *passes x limit* of them. Without one, all passes share a scan.
+    The passes find their newest entries through the substring index, or without one share a scan; only these entries
+    are read further, and the rows have at most *passes x limit* of them.
     """
-    if corpus.grams is None:
-        return _scan(corpus, plan, features)
     passes = {no: substring.term_pass(ts, plan.limit) for no, ts in plan.substring.items() if ts}
     passes |= {no: substring.term_pass([t], plan.limit, True) for no, t in plan.pings.items()}
     if plan.sweep:
@@ -101,49 +98,6 @@ def hits(corpus: Corpus, plan: Plan, features: dict | None = None) -> DataFrame:
     return rows.select("seq", "uuid", "date_iso", "ingested_at", *[c.alias(k) for k, c in (features or {}).items()], "pass_no", "pos", "rank")
 
 
-def _scan(corpus: Corpus, plan: Plan, features: dict | None) -> DataFrame:
-    """``hits`` of a corpus without a substring index.
-
-    One scan of the entries: ranked hits (limited, so few) join it, substring
-    conditions are evaluated in it, features are computed for found rows only.
-    """
-    n_ranked = plan.limit * max(1, len(plan.ranked))
-    ranked = search_hits(corpus, plan.ranked, plan.limit)
-    by_entry = ranked.groupBy("seq").agg(F.collect_list(F.struct("pass_no", F.col("pos").alias("at"), "rank")).alias("_ranked"))
-    terms = list(dict.fromkeys([t for ts in plan.substring.values() for t in ts] + list(plan.pings.values())))
-    rows = sized_join(lowered(corpus.entries, terms), by_entry, "seq", n_ranked, "left")
-    # one cheap test per term decides which rows go on; passes are told apart for those only
-    tests = [has_term(t) for t in terms] + [F.col("_ranked").isNotNull()] + ([sweep_condition()] if plan.sweep else [])
-    rows = rows.where(any_of(tests))
-    rows = rows.withColumn("_has", F.array(*[has_term(t) for t in terms]) if terms else F.array(F.lit(False)))
-    holds = lambda t: F.col("_has")[terms.index(t)]
-
-    def found(no: int, condition: Column) -> Column:
-        return F.when(condition, F.struct(F.lit(no).alias("pass_no"), F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("rank")))
-
-    marks = [found(no, any_of([holds(t) for t in ts])) for no, ts in plan.substring.items() if ts]
-    marks += [found(no, is_message() & holds(t)) for no, t in plan.pings.items()]
-    if plan.sweep:
-        marks.append(found(plan.sweep, sweep_condition()))
-    kind = "array<struct<pass_no:int,at:int,rank:double>>"
-    by_text = F.filter(F.array(*marks), lambda m: m.isNotNull()).cast(kind) if marks else F.array().cast(kind)
-    rows = rows.withColumn("_passes", F.concat(F.coalesce(F.col("_ranked").cast(kind), F.array().cast(kind)), by_text))
-    if features:
-        rows = rows.withColumn("_text", rules.joined_text())
-    kept = rows.select("seq", "uuid", "date_iso", "ingested_at", money_text().alias("_money"), "_passes",
-                       *[c.alias(k) for k, c in (features or {}).items()])
-    # the outer form keeps Spark from testing the array in the scan a second time
-    flat = kept.withColumn("p", F.explode_outer("_passes")).where(F.col("p").isNotNull()).select(
-        *[c for c in kept.columns if c != "_passes"], "p.pass_no", "p.at", "p.rank")
-    order = [F.col("at").asc_nulls_last(), *recency()]
-    if plan.sweep is None:
-        return keep_first(flat, "pass_no", order, plan.limit).drop("at", "_money")
-    most = sweep_limit(plan.limit)
-    cut = keep_first(flat, "pass_no", order, most).where(
-        F.when(F.col("pass_no") == plan.sweep, F.col("_money")).otherwise(F.col("pos") <= plan.limit))
-    return cut.drop("at", "_money")
-
-
 def until_enough(found: DataFrame, plan: Plan) -> DataFrame:
     """Drop what passes find after enough entries are at hand; the sweep always counts.
 
