@@ -34,7 +34,7 @@ SALTS = 8
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), SPACE), "")
 
 
 def _places(n: Column) -> Column:
@@ -58,16 +58,16 @@ def repeated_words(words: Column) -> Column:
 
 def base(text: Column, words: Column) -> dict[str, Column]:
     plain = F.coalesce(text.cast("string"), F.lit(""))
-    removed = lambda chars: F.length(plain) - F.length(F.translate(plain, chars, ""))
     lines = F.filter(F.split(plain, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
-    return {"n_words": F.size(words), "word_chars": F.length(plain) - removed(" \t\n\x0b\f\r"), "n_symbols": removed("#*$%&|<>"),
+    return {"n_words": F.size(words), "word_chars": F.length(F.array_join(words, "")), "n_symbols": F.regexp_count(plain, F.lit("[#*$%&|<>]")),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), "n_repeat_words": repeated_words(words)}
 
 
 def ngram_buckets(text: Column, buckets: int) -> Column:
-    """Buckets of the words of the lower-cased text and of the pairs of adjacent ones."""
-    single = lambda w: F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    pair = lambda w: F.transform(_places(F.size(w) - 1), lambda i: F.pmod(F.xxhash64(F.get(w, i), F.get(w, i + 1)), F.lit(buckets)).cast("int"))
+    """Buckets of the words of the lower-cased text and of the pairs of adjacent ones. A power of two takes the hash's last bits."""
+    place = lambda h: (F.pmod(h, F.lit(buckets)) if buckets & (buckets - 1) else h.bitwiseAND(F.lit(buckets - 1))).cast("int")
+    single = lambda w: F.transform(w, lambda x: place(F.xxhash64(x)))
+    pair = lambda w: F.transform(_places(F.size(w) - 1), lambda i: place(F.xxhash64(F.get(w, i), F.get(w, i + 1))))
     return let(words_of(F.lower(text)), lambda w: F.concat(single(w), pair(w)))
 
 

@@ -80,3 +80,12 @@ def test_marks_of_a_scan(spark):
     plain = substring.Lookup(index.Corpus(entries)).newest(passes)
     indexed = substring.Lookup(substring.indexed(index.staged_index(entries, "m"), "m")).newest(passes)
     assert sorted(plain) == sorted(indexed) != []
+
+
+def test_quality_figures_are_plain_functions(spark):
+    from recollect.llm.quality import base, words_of
+    df = spark.createDataFrame([(" a\tbé #x#\n\x0b|🙂 <b> ",), ("",), (None,), (" \r\n",)], "text string")
+    c = words_of(F.col("text"))
+    assert [(r.w, r.n, r.s) for r in df.select(c.alias("w"), base(F.col("text"), c)["word_chars"].alias("n"), base(F.col("text"), c)["n_symbols"].alias("s")).collect()] == [
+        (["a", "bé", "#x#", "|🙂", "<b>"], 11, 5), ([], 0, 0), ([], 0, 0), ([], 0, 0)]
+    assert "lambdafunction" not in df.select(c)._jdf.queryExecution().optimizedPlan().toString()
