@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 MOST_WAYS, LONGEST = 1000, 64
 #: Bits of the filter that the words make for the tokens, and bits for each word.
 FILTER_BITS, BITS_A_WORD = 27, 800
-PRIME, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+PRIME, MIX, PAIR = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
 
 
 def able(cutoff: float) -> dict[tuple[int, int], int]:
@@ -52,7 +52,7 @@ def hashes(words: pa.Array, by: dict[int, dict[int, list[int]]]) -> Iterator[tup
                     if c not in gone:
                         h = h * PRIME + grid[c]
                 for pair in pairs:
-                    mixed = (h + np.uint64(pair) * PRIME) * MIX
+                    mixed = (h ^ np.uint64(pair * PAIR % (1 << 64))) * MIX
                     yield mixed ^ (mixed >> np.uint64(29)), which
 
 

@@ -43,7 +43,7 @@ def test_no_close_word_is_missed(spark, lists):
 def common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
-        row = [0] + [0] * len(b) if not b else _next(row, x, b)
+        row = _next(row, x, b)
     return row[-1]
 
 
