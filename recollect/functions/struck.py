@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Ways to strike letters out of one word, at most, for one pair of lengths; and the longest words that are tried.
 MOST_WAYS, LONGEST = 1000, 64
+#: The lowest cutoff: below it so few letters must be left that most words share them.
+LOWEST = 0.8
 #: Bits of the filter that the words make for the tokens, and bits for each word.
 FILTER_BITS, BITS_A_WORD = 27, 800
 PRIME, MIX, PAIR = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -21,6 +23,8 @@ PRIME, MIX, PAIR = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 0xD6
 
 def able(cutoff: float) -> dict[tuple[int, int], int]:
     """(letters of a word, of a token) -> letters that must be left of both, for lengths that can reach the cutoff in few ways."""
+    if cutoff < LOWEST:
+        return {}
     found = {}
     for la, lb in itertools.product(range(1, LONGEST + 1), repeat=2):
         left = math.ceil(cutoff * (la + lb) / 2 - 1e-9)
